@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import small_side
+from termloom.session import cut_lineage, small_side
 
 #: Characters hashed at a cut, and the widest stretch without a cut.
 GRAM, GAP = 8, 64
@@ -28,7 +28,6 @@ SMALL = 500_000
 
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
-SENTENCE_END = (0x2E, 0x21, 0x3F)
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|[.!?]+|\n|$)\s*")
 
 
@@ -82,7 +81,8 @@ def runs(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((c.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     key = _mix((total[GRAM:] - total[:m]) * down[:m]) >> np.uint64(1)
     starts = np.zeros(n, dtype=bool)
-    starts[2:] = (np.isin(c[:-2], SENTENCE_END) & (c[1:-1] <= 0x20)) | (c[1:-1] == 0x0A)
+    ended = (c == 0x2E) | (c == 0x21) | (c == 0x3F)
+    starts[2:] = (ended[:-2] & (c[1:-1] <= 0x20)) | (c[1:-1] == 0x0A)
     key[~starts[:m]] |= np.uint64(1 << 63)
     least_near = _sliding(key, GAP, np.minimum)
     padded = np.concatenate((np.zeros(GAP - 1, np.uint64), least_near, np.zeros(GAP - 1, np.uint64)))
@@ -95,12 +95,14 @@ def runs(text: str, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """doc_id, text, same: texts long enough to share a span; same tells exact copies."""
+    """doc_id, text, same, text_hash: texts long enough to share a span; same (128 bits) tells exact copies."""
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return named.where("doc_id IS NOT NULL").where(F.length("text") >= min_chars).withColumn("same", F.unhex(F.md5("text")))
+    return named.where("doc_id IS NOT NULL").where(F.length("text") >= min_chars).withColumns(
+        {"same": F.unhex(F.md5("text")), "text_hash": F.xxhash64("text")}
+    )
 
 
-def _windows(texts: DataFrame, live: DataFrame, min_chars: int) -> DataFrame:
+def _windows(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int) -> DataFrame:
     """doc_id, start, before, span: every window of min_chars characters that lies by a repeated run.
 
     span names the window's characters (128 bits); before is the character ahead of it, -1 at the start of a text.
@@ -131,34 +133,32 @@ def _windows(texts: DataFrame, live: DataFrame, min_chars: int) -> DataFrame:
                     spans.append(xxhash.xxh3_128_digest(t[at : at + min_chars].encode("utf-8", "surrogatepass")))
             yield pd.DataFrame({"doc_id": ids, "start": starts, "before": befores, "span": spans})
 
-    again = texts.join(live.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    reps, repeated = live
+    again = texts.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
     rows = again.mapInPandas(near, "doc_id bigint, run bigint, start bigint, ahead int, around string")
-    repeated = _repeated(rows.select("run", "doc_id"), "doc_id")
     return rows.join(repeated, "run", "left_semi").select("doc_id", "start", "ahead", "around").mapInPandas(
         cut, "doc_id bigint, start bigint, before int, span binary"
     )
 
 
-def _repeated(rows: DataFrame, of: str) -> DataFrame:
-    """run of the runs that more than one value of column of holds; folds on the map side."""
-    return rows.groupBy("run").agg(F.min(of).alias("a"), F.max(of).alias("b")).where("a <> b").select("run")
-
-
-def _live(texts: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id (the smallest of its exact copies), same: texts that hold a run which a different text holds too."""
+def _live(texts: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) of the texts that hold a run which a different text holds too, under the smallest id of their
+    exact copies; and those runs. Both are written to the shared folder: they are read more than once."""
     least = run_length(min_chars)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.unique(runs(t, least)[1]) for t in batch["text"]]
-            yield pd.DataFrame(
-                {"run": np.concatenate(found) if found else [], "same": batch["same"].repeat([len(f) for f in found])}
-            ).astype({"run": "int64"})
+            counts = [len(f) for f in found]
+            yield pd.DataFrame({"run": np.concatenate(found) if found else np.empty(0, np.int64), "text_hash": np.repeat(batch["text_hash"].to_numpy(), counts)})
 
-    rows = texts.select("same", "text").mapInPandas(hashed, "run bigint, same binary")
-    texts_with = rows.join(_repeated(rows, "same"), "run", "left_semi").select("same").distinct()
-    first = texts.groupBy("same").agg(F.min("doc_id").alias("doc_id"))
-    return first.join(texts_with, "same", "left_semi")
+    # one exchange serves both the count of a run's texts and the way back to them
+    rows = texts.select("text_hash", "text").mapInPandas(hashed, "run bigint, text_hash bigint").repartition("run")
+    shared = rows.groupBy("run").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("run")
+    held = cut_lineage(rows.join(shared, "run", "left_semi").distinct())
+    first = texts.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    reps = cut_lineage(first.join(held.select("text_hash").distinct(), "text_hash", "left_semi").select("doc_id", "same"))
+    return small_side(reps, SMALL), held.select("run").distinct()
 
 
 def shared_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 400) -> DataFrame:
@@ -167,7 +167,7 @@ def shared_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Exact copies are one text here, under their smallest doc_id. first_doc is the smallest doc_id with the window.
     """
     texts = _texts(docs, doc_id, text, min_chars)
-    windows = _windows(texts, small_side(_live(texts, min_chars), SMALL), min_chars).distinct()
+    windows = _windows(texts, _live(texts, min_chars), min_chars).distinct()
     held = windows.groupBy("span").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     return windows.join(held.where("first_doc <> last_doc").select("span", "first_doc"), "span")
 
@@ -183,8 +183,7 @@ def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     the end.
     """
     texts = _texts(docs, doc_id, text, min_chars)
-    live = _live(texts, min_chars)
-    windows = _windows(texts, small_side(live, SMALL), min_chars)
+    windows = _windows(texts, _live(texts, min_chars), min_chars)
     # a window's context may begin at the cut's reach; the same window seen from another cut knows its character before
     seen = windows.groupBy("span", "doc_id", "start").agg(F.max("before").alias("before"))
     held = seen.groupBy("span").agg(
