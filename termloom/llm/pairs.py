@@ -70,7 +70,7 @@ no es posible responder
 SPREAD = 2.0
 LANGUAGES = ("en", "de", "fr", "es")
 #: At most so many labelled documents, of at most so many characters each, and so many runs train the language model.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_RUNS = 3000, 20_000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_RUNS = 3000, 20_000, 10_000
 #: What spelling may say about one word, in nats; a word seen in responses is mostly judged by those.
 SPELLING = 3.0
 
@@ -260,6 +260,16 @@ class LanguageModel:
         return max(sums, key=lambda x: sums[x]) if sums and words else None
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
+    """At most rows rows, those of the least hash of key. Rows above a hash that about rows of them stay below are
+    dropped where they are read, so the driver gets about rows of them, however many tasks there are."""
+    total = df.count()
+    span = 1 << 30
+    below = span if total <= rows else span * rows // total
+    near = df.where(F.pmod(F.xxhash64(key), F.lit(span)) < below)
+    return near.orderBy(F.xxhash64(key), key).limit(rows).collect()
+
+
 def train_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
     """Fitted on at most rows labelled documents, those of the least hash of their id among texts of at most chars.
 
@@ -267,8 +277,7 @@ def train_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int =
     """
     label = F.lower(F.trim("lang"))
     fit = docs.select("doc_id", label.alias("lang"), "text").where(label.isin(list(LANGUAGES)) & (F.length("text") <= chars))
-    sample = fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    texts = [(r["lang"], [w for w in words_of(r["text"]) if not w.isdigit()]) for r in sample]
+    texts = [(r["lang"], [w for w in words_of(r["text"]) if not w.isdigit()]) for r in bounded_sample(fit, "doc_id", rows)]
 
     def fitted(labelled) -> LanguageModel:
         counts: dict[str, Counter] = {x: Counter() for x in LANGUAGES}
@@ -293,9 +302,9 @@ def question_of(prompt: str) -> list[str]:
 
 def train_on_answers(model: LanguageModel, runs: DataFrame, rows: int = SAMPLE_RUNS) -> LanguageModel:
     """Adds what at most rows runs show, those of the least hash of their id."""
-    sample = runs.where("prompt_text IS NOT NULL AND llm_response_text IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
+    asked = runs.where("prompt_text IS NOT NULL AND llm_response_text IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
     pairs = []
-    for r in sample.orderBy(F.xxhash64("run_id"), "run_id").limit(rows).collect():
+    for r in bounded_sample(asked, "run_id", rows):
         question, (terms, _, _) = question_of(r["prompt_text"]), read_response(r["llm_response_text"])
         if not is_copy(question, [w for t in terms for w in words_of(t)]):
             pairs.append((question, [w for w in own_words(question, terms) if _latin(w)]))
