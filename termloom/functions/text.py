@@ -18,8 +18,7 @@ TOKEN = "[A-Za-z0-9]++(?:['.,-][A-Za-z0-9]++)*+"
 TOKEN_PLAIN = "[A-Za-z0-9]+(?:['.,-][A-Za-z0-9]+)*"
 MAX_TOKEN = 255
 
-#: The public default English stop list of Spark's StopWordsRemover family, without contractions
-#: that the tokenizer cannot produce. A stop file can replace it, see sources.lexicon.read_stopwords.
+#: English function words, the default stop list. A stop file can replace it, see sources.lexicon.
 STOPWORDS: tuple[str, ...] = tuple(
     """a about above after again against all am an and any are as at be because been before being below between
     both but by can did do does doing don't down during each few for from further had has have having he her here
