@@ -129,7 +129,10 @@ UNION ALL SELECT DISTINCT 'passage', passage_id FROM passages WHERE {TOO_LONG}""
     "p4_found": f"SELECT term, mark FROM ({FREQUENCIES}) WHERE mark IS NOT NULL",
     "p6_found": f"""{SCORED}
 SELECT passage_id, term FROM scored
-QUALIFY ROW_NUMBER() OVER (PARTITION BY passage_id ORDER BY bm25 DESC, term COLLATE "binary") = 1""".replace(' COLLATE "binary"', ""),
+QUALIFY ROW_NUMBER() OVER (PARTITION BY passage_id ORDER BY bm25 DESC, term) = 1""",
+    "p6_distinctive": f"""{SCORED}
+SELECT passage_id, term, distinctiveness AS score FROM scored
+QUALIFY ROW_NUMBER() OVER (PARTITION BY passage_id ORDER BY distinctiveness DESC, term) = 1""",
     "p8_found": """
 WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items),
   d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
