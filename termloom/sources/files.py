@@ -87,7 +87,7 @@ def read_files(spark: SparkSession, path: str, extractors: dict[str, Extractor]
 
     status is ok, skipped (extension not known), malformed or no_text. Formats come from the extension in any case.
     extractors adds readers for 'pdf' and 'image' as functions from bytes to text; without one such files are malformed.
-    Each file is read whole by one task.
+    Each file is read whole by one task. Files of no bytes are not listed by file sources and give no row.
     """
     plugged = dict(extractors or {})
     names = SCHEMA.replace(" string", "").split(", ")

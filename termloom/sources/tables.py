@@ -42,7 +42,7 @@ def row_range(df: DataFrame, first: int, end: int) -> DataFrame:
 
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """document_name (the base file name), text (up to a NUL character) of each file."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("document_name"), F.col("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("document_name"), F.col("value"))
     return rows.select("document_name", F.substring_index("value", "\u0000", 1).alias("text"))
 
 
