@@ -33,10 +33,10 @@ def grams(words: list[str], n: int = SEED) -> list[str]:
 
 def rare_seeds(words: list[str], frequency: dict[str, int], min_run: int) -> set[int]:
     """Positions of five-grams that together meet every run of min_run words: of each min_run - 4 consecutive ones, the
-    rarest; the first on a tie. A short item keeps its rarest."""
+    rarest that the corpus has; the first on a tie. A short item keeps its rarest."""
     g = grams(words)
     span = max(1, min_run - SEED + 1)
-    weights = [frequency.get(x, 0) for x in g]
+    weights = [frequency.get(x) or float("inf") for x in g]
     return {min(range(i, min(i + span, len(g))), key=lambda j: (weights[j], j)) for i in range(max(1, len(g) - span + 1)) if g}
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,21 +77,23 @@ def best_fit(sizes: np.ndarray, capacity: Capacity, rule: str = "residual_norm")
 def document_sizes(docs: DataFrame, tokenizer: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tokens; a null text has none."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_counter(tokenizer, pattern)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "tokens": [tokens(t) for t in batch["text"]]})
+            counted = pa.array([tokens(t.as_py()) for t in batch["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], counted], ["doc_id", "tokens"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(count, "doc_id bigint, tokens bigint")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, "doc_id bigint, tokens bigint")
 
 
 def _packer(turn: int, capacity: Capacity, rule: str, full: float):
-    def one(shard: pd.DataFrame) -> pd.DataFrame:
-        length = (shard["token_end"] - shard["token_start"]).to_numpy()
+    def one(shard: pa.Table) -> pa.Table:
+        length = shard["token_end"].to_numpy() - shard["token_start"].to_numpy()
         placed = best_fit(length, capacity, rule)
         filled = np.bincount(placed, weights=length, minlength=1)
         whole = filled[placed] >= full * capacity.tokens
-        return shard.assign(container_id=(turn << 56) + shard["shard"] * (1 << 24) + placed, whole=whole)
+        number = (turn << 56) + shard["shard"].to_numpy() * (1 << 24) + placed
+        return shard.append_column("container_id", pa.array(number, pa.int64())).append_column("whole", pa.array(whole))
 
     return one
 
@@ -122,7 +124,7 @@ def pack(sizes: DataFrame, capacity: Capacity = Capacity(), rule: str = "residua
         sharded = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
 
         schema = "doc_id bigint, piece int, token_start bigint, token_end bigint, shard bigint, container_id bigint, whole boolean"
-        packed = cut_lineage(sharded.groupBy("shard").applyInPandas(_packer(turn, capacity, rule, full), schema))
+        packed = cut_lineage(sharded.groupBy("shard").applyInArrow(_packer(turn, capacity, rule, full), schema))
         columns = ["container_id", "doc_id", "piece", "token_start", "token_end"]
         if last:
             fixed.append(packed.select(columns))

@@ -53,16 +53,16 @@ def character_bodies(budget: int) -> str:
     )
 
 
-def _tail(body: Column, overlap: int, unit: str) -> Column:
-    """The last overlap units of a body, up to its end."""
+def _tail(piece: Column, overlap: int, unit: str) -> Column:
+    """The last overlap units of a piece, up to its end."""
     if unit == "character":
-        return F.substring(body, F.greatest(F.length(body) - overlap, F.lit(0)) + 1, F.lit(overlap))
-    units = F.regexp_extract_all(body, F.lit(f"{TOKEN}{SEP}*+"), F.lit(0))
+        return F.substring(piece, F.greatest(F.length(piece) - overlap, F.lit(0)) + 1, F.lit(overlap))
+    units = F.regexp_extract_all(piece, F.lit(f"{TOKEN}{SEP}*+"), F.lit(0))
     return F.array_join(F.slice(units, F.greatest(F.size(units) - overlap, F.lit(0)) + 1, F.lit(overlap)), "")
 
 
 def pieces_of(text: Column, limit: int, overlap: int, unit: str = "token") -> Column:
-    """Array of piece texts: the text itself if it is within the limit, else bodies, each led by the tail of the last."""
+    """Array of piece texts: the text itself if it is within the limit, else bodies, each led by the tail of the piece before."""
     if not 0 <= overlap < limit or unit not in ("token", "character"):
         raise ValueError(f"limit {limit}, overlap {overlap}, unit {unit!r}: need 0 <= overlap < limit")
     if unit == "token" and limit > MAX_LIMIT:
@@ -71,12 +71,14 @@ def pieces_of(text: Column, limit: int, overlap: int, unit: str = "token") -> Co
     pattern = token_bodies(budget) if unit == "token" else character_bodies(budget)
     oversized = has_more_tokens_than(text, limit) if unit == "token" else F.length(text) > limit
     bodies = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b: b != "")
-    if overlap:
-        tails = F.transform(bodies, lambda b: _tail(b, overlap, unit))
-        led = F.zip_with(F.concat(F.array(F.lit("")), tails), bodies, lambda t, b: F.concat(t, b))
-        cut = F.filter(led, lambda p: p.isNotNull())
-    else:
-        cut = bodies
+    none = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("pieces"))
+
+    def led(done: Column, body: Column) -> Column:
+        piece = F.concat(done["tail"], body)
+        tail = _tail(piece, overlap, unit) if overlap else F.lit("")
+        return F.struct(tail.alias("tail"), F.array_append(done["pieces"], piece).alias("pieces"))
+
+    cut = F.aggregate(bodies, none, led)["pieces"]
     return F.when(oversized, cut).when(F.length(text) > 0, F.array(text))
 
 
@@ -86,7 +88,7 @@ def split_oversized(
     """item_id, chunk_id, text, token_count: pieces of every item, in order from chunk 0.
 
     Every piece has at most limit units; leading overlaps removed, the pieces of an item tile its text. Consecutive
-    pieces share exactly overlap units, fewer only where the piece before has fewer. A text within the limit is one
+    pieces share exactly overlap units, fewer only where the text so far has fewer. A text within the limit is one
     piece, unchanged; null and empty texts give none. Repeated rows give repeated pieces. Texts of any length are read
     whole. Columns other than the two named are not looked at, so their names cannot clash.
     """
