@@ -239,8 +239,10 @@ class LanguageModel:
         """Evidence of a word for each language, relative to the strongest."""
         if word not in self.cache:
             s = self._spelling(word)
-            s = [max(v - max(s), -SPELLING) for v in s]
-            if any(self.answers[x][word] for x in self.languages):
+            seen = sum(self.answers[x][word] for x in self.languages)
+            # the more responses hold a word, the less its spelling says
+            s = [max(v - max(s), -SPELLING) * 5 / (5 + seen) for v in s]
+            if seen:
                 for i, x in enumerate(self.languages):
                     s[i] += math.log((self.answers[x][word] + 0.5) / (self.answered[x] + 50))
             if len(self.cache) > 200_000:
