@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS, chunk_words, drop_stopwords, split_words, tokenize
+from termloom.session import small_side
 
 CHUNK, OVERLAP = 200, 40
+#: Terms of a query set are broadcast up to so many, and shuffled beyond.
+SMALL = 100_000
 
 
 @dataclass(frozen=True)
@@ -53,15 +56,20 @@ def passages_of(chunks: DataFrame, stop: Sequence[str] = STOPWORDS) -> DataFrame
     return keyed.withColumn("token_count", F.size("terms"))
 
 
-def postings_of(passages: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
-    """term, passage_id, term_frequency, token_count. lemmas (term, lemma) renames terms before they are counted."""
-    occurrences = passages.select("passage_id", "token_count", F.explode("terms").alias("term"))
-    counted = occurrences.groupBy("passage_id", "term", "token_count").agg(F.count(F.lit(1)).alias("n"))
+def postings_of(
+    passages: DataFrame, lemmas: DataFrame | None = None, key: Sequence[str] = ("passage_id",), only: DataFrame | None = None
+) -> DataFrame:
+    """term, key, term_frequency, token_count. lemmas (term, lemma) renames terms before they are counted; only (term)
+    keeps the unrenamed terms it lists, before anything is counted or shuffled."""
+    occurrences = passages.select(*key, "token_count", F.explode("terms").alias("term"))
+    if only is not None:
+        occurrences = occurrences.join(only, "term", "left_semi")
+    counted = occurrences.groupBy(*key, "term", "token_count").agg(F.count(F.lit(1)).alias("n"))
     if lemmas is not None:
         # rename counts, not occurrences; terms that the map lacks stay
         renamed = counted.join(lemmas, "term", "left").withColumn("term", F.coalesce("lemma", "term"))
-        counted = renamed.groupBy("passage_id", "term", "token_count").agg(F.sum("n").alias("n"))
-    return counted.select("term", "passage_id", F.col("n").cast("int").alias("term_frequency"), "token_count")
+        counted = renamed.groupBy(*key, "term", "token_count").agg(F.sum("n").alias("n"))
+    return counted.select("term", *key, F.col("n").cast("int").alias("term_frequency"), "token_count")
 
 
 def terms_of(postings: DataFrame) -> DataFrame:
@@ -89,6 +97,20 @@ def stored_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.distinct().join(names, "term_id").select("term", "passage_id", "term_frequency", "token_count")
 
 
+def stored_index(postings: DataFrame, terms: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, terms, stats) keyed by term text from stored tables, of the wanted terms (term) only.
+
+    Repeated rows count once; ids of one term on one passage are added up. Statistics are of all passages with postings.
+    """
+    names = terms.join(wanted.select("term").distinct(), "term", "left_semi").select("term_id", "term").distinct()
+    rows = postings.join(small_side(names, SMALL), "term_id").select("term", "term_id", "passage_id", "term_frequency", "token_count").distinct()
+    known = rows.where("passage_id IS NOT NULL").groupBy("term", "passage_id").agg(
+        F.sum("term_frequency").alias("term_frequency"), F.max("token_count").alias("token_count")
+    )
+    lengths = postings.where("passage_id IS NOT NULL").groupBy("passage_id").agg(F.max("token_count").alias("token_count"))
+    return known, terms_of(known), stats_of(lengths)
+
+
 def integrity(index: Index) -> DataFrame:
     """check_name, violations: what keys and references would have refused; all are 0 after a sound build."""
     p, q = index.passages, index.postings

@@ -55,6 +55,15 @@ def top_k(scored: DataFrame, k: int, ties: Sequence[str] = ("passage_id",)) -> D
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_or_equal(scored: DataFrame, k: int) -> DataFrame:
+    """scored cut to rows whose score is among the best k of their query, all ties of the last included.
+
+    What breaks ties can be joined afterwards, for these rows only.
+    """
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    return scored.withColumn("at", F.rank().over(w)).where(F.col("at") <= k).drop("at")
+
+
 def search(
     queries: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, k: int, params: BM25Params = BM25Params(),
     stop: Sequence[str] = STOPWORDS, lemmas: DataFrame | None = None,

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS
-from termloom.operators.indexing import CHUNK, OVERLAP, Index, build_index, first_documents, integrity, replace_documents
+from termloom.operators.indexing import CHUNK, OVERLAP, Index, chunk_documents, first_documents, integrity, passages_of, postings_of, replace_documents, stats_of, terms_of
 from termloom.plans.store import POINTER, Table
 from termloom.storage import Folder
 
@@ -84,11 +84,10 @@ class Corpora:
 
         try:
             documents = keep(docs.select("document_name", "text"), "documents")
-            plan = build_index(documents, size, overlap, stop, lemmas)
-            passages = keep(plan.passages, "passages")
-            postings = keep(plan.postings.repartitionByRange("term", "passage_id").sortWithinPartitions("term", "passage_id"), "postings")
-            terms = keep(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
-            stats = keep(passages.agg(F.count(F.lit(1)).alias("n_passages"), F.coalesce(F.avg("token_count"), F.lit(0.0)).alias("avgdl")), "stats")
+            passages = keep(passages_of(chunk_documents(documents, size, overlap), stop), "passages")
+            postings = keep(postings_of(passages, lemmas).repartitionByRange("term", "passage_id").sortWithinPartitions("term", "passage_id"), "postings")
+            terms = keep(terms_of(postings), "terms")
+            stats = keep(stats_of(passages), "stats")
             index = Index(documents, passages, postings, terms, stats)
             broken = [f"{r['check_name']}: {r['violations']}" for r in integrity(index).where("violations > 0").collect()]
             if broken:

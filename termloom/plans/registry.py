@@ -13,7 +13,7 @@ from termloom.functions import text as T
 from termloom.operators import badrows, context, evaluation, indexing, lexicon, retrieval, skew
 from termloom.operators.indexing import CHUNK, OVERLAP
 from termloom.plans import logs, samples
-from termloom.session import table
+from termloom.session import small_side, table
 from termloom.sources import lexicon as lexicon_source
 
 POSTING_KEYS = ("term_id", "passage_id")
@@ -82,8 +82,7 @@ def passage_token_counts(spark, d):
 
 
 def postings(spark, d):
-    ix = index(spark, d)
-    return ix.postings.join(ix.passages.select("passage_id", *KEY), "passage_id").select(*KEY, "term", "term_frequency", "token_count")
+    return indexing.postings_of(indexing.passages_of(chunk_docs(spark, d)), key=KEY).select(*KEY, "term", "term_frequency", "token_count")
 
 
 def vocabulary(spark, d):
@@ -152,9 +151,13 @@ def idf_table(spark, d):
 
 
 def explained(spark, d, queries):
-    ix = index(spark, d)
-    scores = retrieval.term_scores(retrieval.query_terms(queries), ix.postings, ix.terms, ix.stats)
-    return scores, ix.passages.select("passage_id", *KEY)
+    """Scores of each query term, from postings of the asked terms only, and the names of passages."""
+    bag = retrieval.query_terms(queries)
+    passages = indexing.passages_of(chunk_docs(spark, d))
+    asked = small_side(bag.select("term").distinct(), indexing.SMALL)
+    posted = indexing.postings_of(passages, only=asked)
+    scores = retrieval.term_scores(bag, posted, indexing.terms_of(posted), indexing.stats_of(passages))
+    return scores, passages.select("passage_id", *KEY)
 
 
 def bm25_explain(spark, d):
@@ -165,7 +168,7 @@ def bm25_explain(spark, d):
 def ranked(spark, d, queries, k):
     """query_id, rank, document_name, chunk_id, score, passage_id; equal scores go by name and chunk."""
     scores, names = explained(spark, d, queries)
-    found = retrieval.passage_scores(scores).join(names, "passage_id")
+    found = retrieval.best_or_equal(retrieval.passage_scores(scores), k).join(names, "passage_id")
     return retrieval.top_k(found, k, KEY)
 
 
@@ -186,6 +189,14 @@ def bm25_duplicate_terms(spark, d):
     return ranked(spark, d, twice, 5).select(*SHOWN)
 
 
+def bm25_stored_top10(spark, d):
+    """The items against the stored index."""
+    bag = retrieval.query_terms(item_queries(spark, d))
+    posted, terms, stats = indexing.stored_index(table(spark, d, "postings"), table(spark, d, "terms"), bag)
+    found = retrieval.passage_scores(retrieval.term_scores(bag, posted, terms, stats))
+    return retrieval.top_k(found, 10).select("query_id", "rank", "passage_id", "score")
+
+
 def questions(spark, d):
     return table(spark, d, "queries").select("query_id", F.col("question_text").alias("query_text"))
 
@@ -370,7 +381,7 @@ QUERIES = {
         tokenize_docs, tokenize_counts, split_words, stopword_filtered_terms, chunk_docs, chunk_counts,
         passage_token_counts, postings, vocabulary, corpus_stats, index_integrity_checks, term_document_frequency,
         lemma_map, lemmatized_terms, wordnet_parse, wordnet_candidates,
-        idf_table, bm25_explain, bm25_search_topk, bm25_batch_top100, bm25_duplicate_terms,
+        idf_table, bm25_explain, bm25_search_topk, bm25_batch_top100, bm25_duplicate_terms, bm25_stored_top10,
         lookup_terms, resolve_terms, document_names_for_passages, row_range_scan, dedupe_first_document, rebuild_union_replace,
         eval_per_query, eval_summary, eval_skipped,
         history_window, document_window, document_prompt, candidate_cap, generation_prompt, sources_json,
@@ -502,6 +513,16 @@ SELECT * FROM (VALUES
     "bm25_search_topk": f"{_search(ITEMS)} {SHOWN_SQL.format(5)}",
     "bm25_batch_top100": f"{_search(ITEMS)} {SHOWN_SQL.format(100)}",
     "bm25_duplicate_terms": f"{_search(ITEMS.replace('text AS', chr(39).join(('text || ', ' ', ' || text AS'))))} {SHOWN_SQL.format(5)}",
+    "bm25_stored_top10": f"""
+WITH asked AS ({ITEMS}),
+bag AS (SELECT query_id, term, COUNT(*) AS qtf FROM (SELECT query_id, UNNEST({KEPT.format("query_text")}) AS term FROM asked) GROUP BY ALL),
+post AS (SELECT term, passage_id, SUM(term_frequency) AS tf, MAX(token_count) AS len FROM (SELECT DISTINCT * FROM postings) JOIN (SELECT DISTINCT * FROM terms) USING (term_id) GROUP BY ALL),
+voc AS (SELECT term, COUNT(*) AS df FROM post GROUP BY term),
+stat AS (SELECT COUNT(*) AS n, AVG(len) AS avgdl FROM (SELECT passage_id, MAX(token_count) AS len FROM postings GROUP BY passage_id)),
+scored AS (SELECT query_id, passage_id, ROUND(SUM(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+  FROM bag JOIN voc USING (term) JOIN post USING (term), stat GROUP BY ALL)
+SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS INT) AS rank, passage_id, score
+FROM scored QUALIFY rank <= 10""",
     "lookup_terms": f"SELECT term, COALESCE(MIN(term_id), -1) AS term_id FROM ({ASKED_TERMS}) LEFT JOIN terms USING (term) GROUP BY term",
     "resolve_terms": f"""
 WITH known AS (SELECT term, MIN(term_id) AS term_id FROM terms WHERE term IS NOT NULL GROUP BY term), asked AS ({ASKED_TERMS})
