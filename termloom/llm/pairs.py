@@ -318,7 +318,7 @@ def _latin(word: str) -> bool:
     return all(ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 for c in word)
 
 
-def wrong_language(question: list[str], terms: list[str], model: LanguageModel, margin: float = 6.0) -> bool:
+def wrong_language(question: list[str], terms: list[str], model: LanguageModel, margin: float = 5.0) -> bool:
     """Whether the terms' words that the question lacks belong to another script or, by margin, another language.
 
     Words of the question (names above all) and numbers say nothing.
