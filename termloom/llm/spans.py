@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,10 +153,11 @@ def _live(texts: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
             counts = [len(f) for f in found]
             yield pd.DataFrame({"run": np.concatenate(found) if found else np.empty(0, np.int64), "text_hash": np.repeat(batch["text_hash"].to_numpy(), counts)})
 
-    # one exchange serves both the count of a run's texts and the way back to them
-    rows = texts.select("text_hash", "text").mapInPandas(hashed, "run bigint, text_hash bigint").repartition("run")
+    # kept while it is read twice: by the count of a run's texts and on the way back to them; lost parts are made again
+    rows = texts.select("text_hash", "text").mapInPandas(hashed, "run bigint, text_hash bigint").repartition("run").persist(StorageLevel.DISK_ONLY)
     shared = rows.groupBy("run").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("run")
     held = cut_lineage(rows.join(shared, "run", "left_semi").distinct())
+    rows.unpersist()
     first = texts.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
     reps = cut_lineage(first.join(held.select("text_hash").distinct(), "text_hash", "left_semi").select("doc_id", "same"))
     return small_side(reps, SMALL), held.select("run").distinct()
