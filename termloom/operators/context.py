@@ -9,6 +9,7 @@ CONTEXT = 16384
 REWRITE_RESERVE, ROUTE_RESERVE, ANSWER_RESERVE, DOCUMENT_RESERVE = 1000, 500, 600, 3000
 BYTES_PER_TOKEN = 3
 LISTED = 8
+SLICES = 64
 
 
 def history_window(turns: DataFrame, budget: int, session: str = "session_id", turn: str = "turn", tokens: str = "tokens") -> DataFrame:
@@ -24,14 +25,21 @@ def history_window(turns: DataFrame, budget: int, session: str = "session_id", t
 def document_window(docs: DataFrame, budget: int, group: str = "corpus_id", tokens: str = "tokens") -> DataFrame:
     """Documents of each group by name while they fit the budget, with position and cut.
 
-    The first overflow ends the list, unless it is the first document, which is then marked cut. Running sums go
-    through a window ordered by name; the frame folds row by row, so a group is streamed, not gathered.
+    The first overflow ends the list, unless it is the first document, which is then marked cut. A group is cut down
+    in SLICES by a hash of the name first: what overflows among a slice's documents overflows among all. So the final
+    order is made of SLICES budgets' worth of documents a group at most, and of those without tokens.
     """
-    w = Window.partitionBy(group).orderBy("document_name", "text")
     n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0))
-    running = docs.withColumn("n", n).withColumn("position", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = running.where((F.col("position") == 1) | ((F.col("running") <= budget) & (F.col("running") - F.col("n") < budget)))
-    return kept.withColumn("cut", F.col("running") > budget).drop("n")
+    order = ("document_name", "text")
+
+    def running(rows: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        summed = rows.withColumn("position", F.row_number().over(w)).withColumn("running", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return summed.where((F.col("position") == 1) | ((F.col("running") <= budget) & (F.col("running") - F.col("n") < budget)))
+
+    sliced = docs.withColumn("n", n).withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)))
+    near = running(sliced, group, "slice").drop("position", "running", "slice")
+    return running(near, group).withColumn("cut", F.col("running") > budget).drop("n")
 
 
 def cut_bytes(text: Column, limit: int) -> Column:
