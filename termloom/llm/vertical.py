@@ -9,7 +9,7 @@ exist. A term reaches a word at most once a layer, so a hot term is no hotter th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.scoring import BM25Params, bm25_idf, bm25_term_score, residual_idf
@@ -36,7 +36,7 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     """term_id, term, term_key: ids of the same term share the smallest of them as key. Null ids and terms are left out;
     an id listed under several terms stands for each."""
     known = terms.select("term_id", "term").where("term_id IS NOT NULL AND term IS NOT NULL").distinct()
-    return known.withColumn("term_key", F.min("term_id").over(Window.partitionBy("term")))
+    return known.join(known.groupBy("term").agg(F.min("term_id").alias("term_key")), "term")
 
 
 def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame) -> DataFrame:
