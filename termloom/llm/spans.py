@@ -8,6 +8,7 @@ repeated run are looked at again, and there windows of exactly the wanted length
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -103,6 +104,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     )
 
 
+def _frames(rows: Iterator[tuple], columns: tuple[str, ...], size: int) -> Iterator[pd.DataFrame]:
+    """Frames of at most size rows, so that what a batch of long texts turns into needs no more memory than that."""
+    while part := list(itertools.islice(rows, size)):
+        yield pd.DataFrame(part, columns=list(columns))
+
+
 def _windows(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int) -> DataFrame:
     """doc_id, start, before, span: every window of min_chars characters that lies by a repeated run.
 
@@ -111,28 +118,24 @@ def _windows(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int
     least, reach = run_length(min_chars), GAP + BEFORE
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: dict[str, list] = {"doc_id": [], "run": [], "start": [], "ahead": [], "around": []}
-            for d, t in zip(batch["doc_id"], batch["text"]):
-                for p, h in zip(*(x.tolist() for x in runs(t, least))):
-                    lo = max(0, p - reach)
-                    out["doc_id"].append(d)
-                    out["run"].append(h)
-                    out["start"].append(p)
-                    out["ahead"].append(p - lo)
-                    out["around"].append(t[lo : p + min_chars])
-            yield pd.DataFrame(out)
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for d, t in zip(batch["doc_id"], batch["text"]):
+                    for p, h in zip(*(x.tolist() for x in runs(t, least))):
+                        lo = max(0, p - reach)
+                        yield d, h, p, p - lo, t[lo : p + min_chars]
+
+        yield from _frames(rows(), ("doc_id", "run", "start", "ahead", "around"), 10_000)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, starts, befores, spans = [], [], [], []
-            for d, p, ahead, t in zip(batch["doc_id"], batch["start"], batch["ahead"], batch["around"]):
-                for at in range(len(t) - min_chars + 1):
-                    ids.append(d)
-                    starts.append(p - ahead + at)
-                    befores.append(ord(t[at - 1]) if at else (-1 if p == ahead else -2))
-                    spans.append(xxhash.xxh3_128_digest(t[at : at + min_chars].encode("utf-8", "surrogatepass")))
-            yield pd.DataFrame({"doc_id": ids, "start": starts, "before": befores, "span": spans})
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for d, p, ahead, t in zip(batch["doc_id"], batch["start"], batch["ahead"], batch["around"]):
+                    for at in range(len(t) - min_chars + 1):
+                        before = ord(t[at - 1]) if at else (-1 if p == ahead else -2)
+                        yield d, p - ahead + at, before, xxhash.xxh3_128_digest(t[at : at + min_chars].encode("utf-8", "surrogatepass"))
+
+        yield from _frames(rows(), ("doc_id", "start", "before", "span"), 100_000)
 
     reps, repeated = live
     again = texts.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
