@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from termloom.session import cut_lineage
 
-BUCKETS = 64
+BITS = 6
+BUCKETS = 1 << BITS
 #: A key with at least this share of the rows is hot; by counting, at most so many keys are.
 HOT_SHARE = 200
 
@@ -31,10 +32,6 @@ def _holding(histogram: Column, wanted: Column, base: Column) -> Column:
     return F.aggregate(histogram, start, step)
 
 
-def _bucket(v: Column, low: Column, width: int) -> Column:
-    return F.floor((v - low) / F.lit(width)).cast("bigint") if width > 1 else v - low
-
-
 def key_profile(df: DataFrame, key: str, value: str, quantiles: Sequence[float] = (0.5,)) -> DataFrame:
     """Figures of an integer column for every value of key.
 
@@ -42,11 +39,12 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: Sequence[float]
     max(1, ceil(q n)) among the key's n values. Rows with a null key are left out (it names no key); null values count
     as rows only, and a key without values has null figures. An empty table gives no rows. Other columns do not matter.
 
-    Round 0 cuts the column's whole range into BUCKETS buckets and folds rows, sums and extremes per key and bucket, on
-    the map side first. A key's histogram has at most BUCKETS entries, so it may sit in one row. While buckets are wider
-    than one value, those that hold a wanted rank are cut again, on their own rows only: the open buckets of hot keys
-    (at most HOT_SHARE keys by the definition of hot) are broadcast; all other keys meet their rows in a shuffled join,
-    where none has more than 1 / HOT_SHARE of them. A 63-bit range takes 11 rounds.
+    A bucket is the values of one prefix, so buckets need no arithmetic that could overflow; a sum beyond 64 bits is
+    null. Round 0 drops as many low bits as leave about BUCKETS prefixes of the column's range, and folds rows, sums and
+    extremes per key and bucket, on the map side first. A key's histogram has at most 2 BUCKETS entries, so it may sit
+    in one row. While buckets are wider than one value, those that hold a wanted rank are cut into BUCKETS, on their own
+    rows only: the open buckets of hot keys (at most HOT_SHARE keys by the definition of hot) are broadcast; all other
+    keys meet their rows in a shuffled join, where none has more than 1 / HOT_SHARE of them. 64 bits take 11 rounds.
     """
     qs = sorted({float(q) for q in quantiles})
     if not qs or qs[0] < 0 or qs[-1] > 1:
@@ -54,14 +52,14 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: Sequence[float]
     rows = df.select(F.col(key).alias("key_value"), F.col(value).cast("bigint").alias("v")).where("key_value IS NOT NULL")
     span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     low, high = (span["lo"], span["hi"]) if span["lo"] is not None else (0, 0)
-    width = -(-(high - low + 1) // BUCKETS)
-    folded = rows.groupBy("key_value", _bucket(F.col("v"), F.lit(low), width).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    shift = max(0, (high - low).bit_length() - BITS)
+    folded = rows.groupBy("key_value", F.shiftright("v", shift).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("c"), F.try_sum("v").alias("s"), F.count_if(F.col("v").isNotNull()).alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
     entry = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "c"))
     keys = folded.groupBy("key_value").agg(
         F.sum("c").alias("row_count"),
-        F.sum("s").alias("value_sum"),
+        F.when(F.count_if((F.col("held") > 0) & F.col("s").isNull()) == 0, F.try_sum("s")).alias("value_sum"),
         F.min("lo").alias("value_min"),
         F.max("hi").alias("value_max"),
         F.array_sort(F.collect_list(entry)).alias("histogram"),
@@ -71,32 +69,32 @@ def key_profile(df: DataFrame, key: str, value: str, quantiles: Sequence[float]
     rank = {q: F.greatest(F.lit(1).cast("bigint"), F.ceil(F.lit(q) * n_values)) for q in qs}
     names = {q: f"p{round(q * 100)}" for q in qs}
     totals = ["key_value", "row_count", "value_sum", "value_min", "value_max"]
-    if width == 1:
-        return keys.select(*totals, *[(_holding(F.col("histogram"), rank[q], zero)["bucket"] + low).alias(names[q]) for q in qs])
+    if shift == 0:
+        return keys.select(*totals, *[_holding(F.col("histogram"), rank[q], zero)["bucket"].alias(names[q]) for q in qs])
 
     at = F.array(*[F.struct(F.lit(q).alias("quantile"), rank[q].alias("wanted"), _holding(F.col("histogram"), rank[q], zero).alias("at")) for q in qs])
     found = cut_lineage(
         keys.select(*totals, F.explode(at).alias("x")).select(
-            *totals, "x.quantile", "x.wanted", F.col("x.at.base").alias("base"), (F.col("x.at.bucket") * width + low).alias("low")
+            *totals, "x.quantile", "x.wanted", F.col("x.at.base").alias("base"), F.col("x.at.bucket").alias("bucket")
         )
     )
     result = found.select(*totals).distinct()
-    open_ = found.where("low IS NOT NULL").select("key_value", "row_count", "quantile", "wanted", "base", "low")
-    while width > 1:
-        inner = -(-width // BUCKETS)
+    by = ["key_value", "row_count", "quantile", "wanted", "base"]
+    open_ = found.where("bucket IS NOT NULL").select(*by, "bucket")
+    while shift:
+        inner = max(0, shift - BITS)
+        prefixed = rows.where("v IS NOT NULL").withColumn("bucket", F.shiftright("v", shift))
         hot = F.col("row_count") * HOT_SHARE >= span["n"]
-        counted = []
-        for side in (F.broadcast(open_.where(hot)), open_.where(~hot)):
-            near = rows.join(side, "key_value").where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("low") + width))
-            by = ["key_value", "row_count", "quantile", "wanted", "base", "low"]
-            counted.append(near.groupBy(*by, _bucket(F.col("v"), F.col("low"), inner).alias("bucket")).agg(F.count(F.lit(1)).alias("c")))
-        histograms = reduce(DataFrame.unionByName, counted).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "c"))).alias("histogram"))
+        counted = [
+            prefixed.join(side, ["key_value", "bucket"]).groupBy(*by, F.shiftright("v", inner).alias("finer")).agg(F.count(F.lit(1)).alias("c"))
+            for side in (F.broadcast(open_.where(hot)), open_.where(~hot))
+        ]
+        entries = F.array_sort(F.collect_list(F.struct(F.col("finer").alias("bucket"), "c")))
+        histograms = reduce(DataFrame.unionByName, counted).groupBy(*by).agg(entries.alias("histogram"))
         held = histograms.withColumn("at", _holding(F.col("histogram"), F.col("wanted"), F.col("base")))
-        open_ = cut_lineage(
-            held.select("key_value", "row_count", "quantile", "wanted", F.col("at.base").alias("base"), (F.col("low") + F.col("at.bucket") * inner).alias("low"))
-        )
-        width = inner
-    wide = open_.groupBy("key_value").agg(*[F.max(F.when(F.col("quantile") == q, F.col("low"))).alias(names[q]) for q in qs])
+        open_ = cut_lineage(held.select(*by[:-1], F.col("at.base").alias("base"), F.col("at.bucket").alias("bucket")))
+        shift = inner
+    wide = open_.groupBy("key_value").agg(*[F.max(F.when(F.col("quantile") == q, F.col("bucket"))).alias(names[q]) for q in qs])
     return result.join(wide, "key_value", "left").select(*totals, *names.values())
 
 

@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Hands this package's source to the session's Python workers, which may not have it on their path. Once a session."""
+    package, app = Path(__file__).parent, spark.sparkContext.applicationId
+    if app in _shipped or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="termloom-code-")) / "termloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))  # the driver serves it to all executors, also to those that join later
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -39,6 +39,15 @@ def test_profile_edges(spark):
         skew.key_profile(df, "k", "v", (1.5,))
 
 
+def test_profile_of_the_whole_range(spark):
+    top = (1 << 63) - 1
+    rows = [(1, v) for v in (-top - 1, top, top, 0, -1)] + [(2, top)] * 3 + [(3, 5), (3, -5), (3, None)]
+    got = {r["key_value"]: tuple(r)[1:] for r in skew.key_profile(spark.createDataFrame(rows, "k long, v long"), "k", "v", (0.2, 0.5, 0.8)).collect()}
+    assert got[1][0] == 5 and got[1][2:] == (-top - 1, top, -top - 1, 0, top)
+    assert got[2] == (3, None, top, top, top, top, top)
+    assert got[3] == (3, 0, -5, 5, -5, -5, 5)
+
+
 def test_hot_keys(spark):
     rows = [(1, 5)] * 300 + [(i, 6) for i in range(2, 302)] + [(None, None)] * 2
     got = skew.hot_keys(spark.createDataFrame(rows, "a long, b long"), ("a", "b"), "b", 200).collect()
