@@ -70,12 +70,12 @@ def _counts(bitmaps: DataFrame) -> DataFrame:
 
 
 def term_frequencies(
-    postings: DataFrame, passages: DataFrame, terms: DataFrame, rare_at_most: int = 2, common_above: float = 0.01
+    postings: DataFrame, passages: DataFrame, terms: DataFrame, rare_at_most: int = 2, common_share: int = 100
 ) -> DataFrame:
     """term, total_frequency, passage_count, mark for every distinct non-null term of terms.
 
-    mark is 'rare' where at most rare_at_most passages hold the term (none included), 'common' where more than
-    common_above of all rows of passages do, else null; rare comes first. Postings without a known passage or term do
+    mark is 'rare' where at most rare_at_most passages hold the term (none included), 'common' where more than one in
+    common_share of all rows of passages do, else null; rare comes first. Postings without a known passage or term do
     not count, repeated ones count once, ids of one term are taken together. Empty postings make every term rare; empty
     terms give no rows.
     """
@@ -83,7 +83,7 @@ def term_frequencies(
     total = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
     names = terms.where("term_id IS NOT NULL AND term IS NOT NULL").groupBy("term").agg(F.min("term_id").alias("term_key"))
     held = F.coalesce("passage_count", F.lit(0))
-    mark = F.when(held <= rare_at_most, "rare").when(held > total * common_above, "common")
+    mark = F.when(held <= rare_at_most, "rare").when(held * common_share > total, "common")
     return names.join(counts, "term_key", "left").select(
         "term", F.coalesce("total_frequency", F.lit(0)).alias("total_frequency"), held.alias("passage_count"), mark.alias("mark")
     )

@@ -46,9 +46,9 @@ def test_frequencies_by_brute_force(spark, tables):
     for t, p, f in set(clean(rows, passages, terms)):
         cf[t] += f
         df[t].add(p)
-    got = {r["term"]: (r["total_frequency"], r["passage_count"], r["mark"]) for r in vertical.term_frequencies(*dfs, 2, 0.2).collect()}
+    got = {r["term"]: (r["total_frequency"], r["passage_count"], r["mark"]) for r in vertical.term_frequencies(*dfs, 2, 5).collect()}
     names = {t for i, t in terms if t is not None and i is not None}
-    expect = {t: (cf[t], len(df[t]), "rare" if len(df[t]) <= 2 else "common" if len(df[t]) > 0.2 * len(passages) else None) for t in names}
+    expect = {t: (cf[t], len(df[t]), "rare" if len(df[t]) <= 2 else "common" if len(df[t]) * 5 > len(passages) else None) for t in names}
     assert got == expect
 
 
