@@ -1,8 +1,10 @@
 """Held-out items that occur, wholly or partly, in a corpus.
 
-Seeds are word five-grams. Of each run of consecutive five-grams that a shared stretch must contain, the item keeps its
-rarest in the corpus, so no shared stretch of min_run words is missed while common phrases seed nothing. Seeds join
-passages of the corpus to items, and a Smith-Waterman alignment of words scores each pair.
+Seeds are word five-grams. For edited copies every five-gram of an item is one: which of them an edit spared cannot be
+told from the corpus, least of all where another document holds the item unedited. For unbroken runs alone, of each run
+of consecutive five-grams that a shared stretch must contain, the item keeps its rarest in the corpus, so no shared
+stretch of min_run words is missed while common phrases seed nothing. Seeds join passages of the corpus to items, and a
+Smith-Waterman alignment of words scores each pair.
 """
 
 from __future__ import annotations
@@ -90,10 +92,10 @@ def _ids(words: list[str], known: dict[str, int]) -> np.ndarray:
     return np.array([known.get(w, -1) for w in words], dtype=np.int32)
 
 
-def _pairs(doc_id: int, words: list[str], seeds: dict[str, list[tuple[int, int]]], items: dict[int, list[str]], min_run: int, min_identity: float):
+def _pairs(doc_id: int, words: list[str], seeds: dict[str, list[int]], items: dict[int, list[str]], min_run: int, min_identity: float | None):
     hits: dict[int, list[int]] = {}
     for p, g in enumerate(grams(words)):
-        for item, _ in seeds.get(g, ()):
+        for item in seeds.get(g, ()):
             hits.setdefault(item, []).append(p)
     for item, positions in hits.items():
         other = items[item]
@@ -106,23 +108,38 @@ def _pairs(doc_id: int, words: list[str], seeds: dict[str, list[tuple[int, int]]
                 longest = max(longest, run)
                 best = max(best, (score, matches, columns))
         identity = best[1] / max(1, best[2])
-        if longest >= min_run or (best[1] >= min_run and identity >= min_identity):
+        if longest >= min_run or (min_identity is not None and best[1] >= min_run and identity >= min_identity):
             yield item, doc_id, longest, best[0], round(identity, 6), round(best[1] / len(other), 6)
 
 
+def _frequency(corpus: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """In how many texts each of the wanted five-grams occurs; those in none are left out."""
+    sent = corpus.sparkSession.sparkContext.broadcast(wanted)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [g for t in batch["text"] for g in sent.value.intersection(grams(words_of(t)))]
+            yield pd.DataFrame({"gram": found}, dtype=object)
+
+    counted = corpus.select("text").mapInPandas(count, "gram string").groupBy("gram").count()
+    return {r["gram"]: r["count"] for r in counted.collect()}  # no more than the block's five-grams
+
+
 def leaked_items(
-    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_run: int = 12, min_identity: float = 0.8
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", min_run: int = 12, min_identity: float | None = 0.8
 ) -> DataFrame:
     """item_id, doc_id, longest_run, score, identity, item_share for each document that holds an item or part of it.
 
     longest_run is the longest run of consecutive equal words; score, identity and item_share come from the best local
     alignment (match 2, mismatch and gap -1). A pair is kept with longest_run of at least min_run, or with at least
-    min_run aligned equal words at min_identity or more (edited copies). Words are lower-cased runs of ASCII letters and
+    min_run aligned equal words at min_identity or more (edited copies; an edited copy needs one run of five words left, and
+    other documents do not matter to it). With a min_identity of None only unbroken runs are looked for. Words are lower-cased runs of ASCII letters and
     digits. Null and empty texts, null ids and items of fewer than five words give no pairs; repeated rows
     give repeated pairs of a document and one pair of an item. Whole texts are read, one document at a time.
 
     Items are read in blocks of BLOCK rows by a range of their ids; each block goes to all tasks, whatever the number of
-    items, and the documents are read twice per block: to count in how many each item's five-grams occur, and to align.
+    items. The documents are read once per block to align, and for unbroken runs alone once before, to count in how many
+    each item's five-grams occur.
     """
     spark = docs.sparkSession
     if min_run < SEED:
@@ -136,21 +153,14 @@ def leaked_items(
         named: dict[int, list[str]] = {}
         for r in block.collect():  # a block of the stated query set, not the corpus
             named.setdefault(r["item_id"], words_of(r["text"]))
-        wanted = spark.sparkContext.broadcast({g for w in named.values() for g in grams(w)})
-
-        def count(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                found = [g for t in batch["text"] for g in wanted.value.intersection(grams(words_of(t)))]
-                yield pd.DataFrame({"gram": found}, dtype=object)
-
-        counted = corpus.select("text").mapInPandas(count, "gram string").groupBy("gram").count()
-        frequency = {r["gram"]: r["count"] for r in counted.collect()}  # no more than the block's five-grams
-        seeds: dict[str, list[tuple[int, int]]] = {}
-        for item, w in named.items():
-            g = grams(w)
-            for p in sorted(rare_seeds(w, frequency, min_run)):
-                if g[p] in frequency:
-                    seeds.setdefault(g[p], []).append((item, p))
+        chosen = {item: set(grams(w)) for item, w in named.items()}
+        if min_identity is None:
+            frequency = _frequency(corpus, set().union(*chosen.values()))
+            chosen = {item: {g for g in map(grams(w).__getitem__, rare_seeds(w, frequency, min_run)) if g in frequency} for item, w in named.items()}
+        seeds: dict[str, list[int]] = {}
+        for item, found in chosen.items():
+            for g in found:
+                seeds.setdefault(g, []).append(item)
         sent = spark.sparkContext.broadcast((seeds, named))
 
         def pairs(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

@@ -62,7 +62,8 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return p8_leaks(spark, d).where("longest_run >= 12").select("item_id", "doc_id").distinct()
+    runs = leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), min_run=12, min_identity=None)
+    return runs.select("item_id", "doc_id").distinct()
 
 
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:

@@ -100,6 +100,22 @@ def test_edited_copy_is_found(spark):
     assert row["longest_run"] == 8 and row["identity"] > 0.8 and row["item_share"] > 0.8
 
 
+def test_edited_copies_are_found_beside_an_exact_one(spark):
+    item = [f"k{i}" for i in range(40)]
+    docs = {n: [w if i % n != n - 1 else "other" for i, w in enumerate(item)] for n in (7, 8, 10, 12)} | {100: item, 101: item}
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+
+    def leaks(ids, **options):
+        a = spark.createDataFrame([(d, " ".join(["x"] * 30 + docs[d])) for d in ids], "doc_id long, text string")
+        return {r["doc_id"]: tuple(r) for r in leakage.leaked_items(a, items, **options).collect()}
+
+    for d in (7, 8, 10, 12):
+        alone, beside = leaks([d]), leaks([d, 100, 101])
+        assert set(beside) == {d, 100, 101} and beside[d] == alone[d]
+        assert beside[d][2] == d - 1 and beside[d][4] >= 0.8
+    assert set(leaks(docs, min_identity=None)) == {100, 101}
+
+
 def test_alignment_score():
     def brute(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
