@@ -27,9 +27,12 @@ _encoders: dict[str, object] = {}
 
 @dataclass(frozen=True)
 class Capacity:
+    """Of one container. An attention capacity of tokens squared or more never binds, as the squares of lengths sum to no
+    more than the square of their sum; the default admits half of that."""
+
     tokens: int = 2048
     documents: int = 256
-    attention: float = float(2048 * 2048)
+    attention: float = 2048 * 2048 / 2
 
 
 def token_counter(path: str, pattern: str):

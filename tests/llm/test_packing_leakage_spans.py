@@ -26,6 +26,14 @@ def test_best_fit_respects_every_capacity(rule):
     assert len(packing.best_fit(np.array([], dtype=int), SMALL, rule)) == 0
 
 
+def test_default_attention_capacity_binds():
+    own = packing.Capacity()
+    assert own.attention < own.tokens**2
+    for sizes, containers in (([1024, 1024], 1), ([1400, 600], 2), ([1500, 100], 2), ([2048], 1), ([1200, 400, 400], 1)):
+        placed = packing.best_fit(np.array(sizes), own)
+        assert sum(sizes) <= own.tokens and len(set(placed)) == containers, sizes
+
+
 def test_pack_places_everything(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 60)
     random.seed(7)
