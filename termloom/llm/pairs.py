@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.session import cut_lineage, fits
+
 WORD = re.compile(r"[^\W_]+")
 QUESTION = re.compile(r'(?im)^\s*(?:user\s+)?question:\s*(.*?)\s*$')
 THINK = re.compile(r"(?s)\A\s*<think>.*?</think>\s*")
@@ -69,8 +71,10 @@ no es posible responder
 """
 SPREAD = 2.0
 LANGUAGES = ("en", "de", "fr", "es")
-#: At most so many labelled documents, of at most so many characters each, and so many runs train the language model.
-SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_RUNS = 3000, 20_000, 10_000
+#: At most so many labelled documents, of at most so many characters each, train the language model.
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+#: Up to so many distinct words of responses go to every task, more are joined.
+FEW_WORDS = 50_000
 #: What spelling may say about one word, in nats; a word seen in responses is mostly judged by those.
 SPELLING = 3.0
 
@@ -202,23 +206,8 @@ class LanguageModel:
             self.gram_logs[g] = [math.log((grams[x][g] + 0.5) / totals[x]) for x in self.languages]
         self.unseen = [math.log(0.5 / totals[x]) for x in self.languages]
         self.word_totals = {x: sum(self.words[x].values()) + 1 for x in self.languages}
-        self.answers = {x: Counter() for x in self.languages}
-        self.answered = dict.fromkeys(self.languages, 0)
         self.cache: dict[str, list[float]] = {}
 
-    def learn_answers(self, runs: Iterable[tuple[list[str], list[str]]]) -> None:
-        """From (question, own words of the response): a word is of the language whose questions it answers most often.
-
-        Most responses are good, so few wrong ones do not turn a word; shares of each language's runs are compared, so
-        a rare language's words are not outvoted.
-        """
-        for question, own in runs:
-            lang = self.language(question)
-            if lang is not None:
-                self.answered[lang] += 1
-                self.answers[lang].update(set(own))
-        self.cache = {}
-
     @staticmethod
     def _grams(word: str) -> list[str]:
         w = f"^{word}$"
@@ -236,20 +225,27 @@ class LanguageModel:
         return s
 
     def scores(self, word: str) -> list[float]:
-        """Evidence of a word for each language, relative to the strongest."""
+        """Evidence of a word's spelling for each language, relative to the strongest."""
         if word not in self.cache:
-            s = self._spelling(word)
-            seen = sum(self.answers[x][word] for x in self.languages)
-            # the more responses hold a word, the less its spelling says
-            s = [max(v - max(s), -SPELLING) * 5 / (5 + seen) for v in s]
-            if seen:
-                for i, x in enumerate(self.languages):
-                    s[i] += math.log((self.answers[x][word] + 0.5) / (self.answered[x] + 50))
             if len(self.cache) > 200_000:
                 self.cache = {}
-            self.cache[word] = [v - max(s) for v in s]
+            self.cache[word] = self.evidence(word, [0] * len(self.languages), [])
         return self.cache[word]
 
+    def evidence(self, word: str, held: list[int], answered: list[int]) -> list[float]:
+        """Evidence of a word for each language, relative to the strongest. held: how many of the answered runs of each
+        language's questions have it in their responses.
+
+        Most responses are good, so few wrong ones do not turn a word; shares of each language's runs are compared, so
+        a rare language's words are not outvoted.
+        """
+        s, seen = self._spelling(word), sum(held)
+        # the more responses hold a word, the less its spelling says
+        s = [max(v - max(s), -SPELLING) * 5 / (5 + seen) for v in s]
+        if seen:
+            s = [v + math.log((h + 0.5) / (n + 50)) for v, h, n in zip(s, held, answered)]
+        return [v - max(s) for v in s]
+
     def total(self, words: Iterable[str]) -> dict[str, float]:
         sums = dict.fromkeys(self.languages, 0.0)
         for w in words:
@@ -302,57 +298,92 @@ def question_of(prompt: str) -> list[str]:
     return words_of(asked[-1]) if asked else []
 
 
-def train_on_answers(model: LanguageModel, runs: DataFrame, rows: int = SAMPLE_RUNS) -> LanguageModel:
-    """Adds what at most rows runs show, those of the least hash of their id."""
-    asked = runs.where("prompt_text IS NOT NULL AND llm_response_text IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
-    pairs = []
-    for r in bounded_sample(asked, "run_id", rows):
-        question, (terms, _, _) = question_of(r["prompt_text"]), read_response(r["llm_response_text"])
-        if not is_copy(question, [w for t in terms for w in words_of(t)]):
-            pairs.append((question, [w for w in own_words(question, terms) if _latin(w)]))
-    model.learn_answers(pairs)
-    return model
-
-
 def _latin(word: str) -> bool:
     return all(ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 for c in word)
 
 
-def wrong_language(question: list[str], terms: list[str], model: LanguageModel, margin: float = 5.0) -> bool:
-    """Whether the terms' words that the question lacks belong to another script or, by margin, another language.
+def language_words(question: list[str], terms: list[str]) -> list[str]:
+    """The distinct words that tell the language of a response; words of the question (names above all) and numbers do not."""
+    return sorted(set(filter(_latin, own_words(question, terms))))
 
-    Words of the question (names above all) and numbers say nothing.
-    """
+
+def other_script(question: list[str], terms: list[str]) -> bool:
     own = own_words(question, terms)
-    if not own:
-        return False
-    foreign = sum(not _latin(w) for w in own)
-    if question and all(map(_latin, question)) and foreign * 2 > len(own):
-        return True
-    lang = model.language([w for w in question if not w.isdigit()])
-    if lang is None:
-        return False
-    sums = model.total(set(filter(_latin, own)))
-    return max(sums.values()) - sums[lang] > margin
+    return bool(own and question) and all(map(_latin, question)) and sum(not _latin(w) for w in own) * 2 > len(own)
 
 
-def defect_of(prompt: str, response: str | None, model: LanguageModel) -> str | None:
+def first_look(prompt: str, response: str | None, model: LanguageModel) -> tuple[str | None, int, list[str] | None]:
+    """(defect, language, words): a defect that the pair itself shows; else, where the model knows the question's language,
+    its number and the response's words that are to be weighed against it."""
     question = question_of(prompt)
     terms, cut_off, prose = read_response(response)
     if not terms and not cut_off:
-        return "empty"
+        return "empty", -1, None
     answer = [w for t in terms for w in words_of(t)]
     whole = is_copy(question, answer)
     if cut_off and not (prose and whole):
-        return "truncated"
+        return "truncated", -1, None
     rest = Counter(answer)
     if whole:
         rest.subtract(question)
         left = [w for w in answer if rest[w] > 0]
-        return "refusal" if is_refusal(left) else "copy"
+        return "refusal" if is_refusal(left) else "copy", -1, None
     if any(len(words_of(t)) > 2 for t in terms) and is_refusal(answer):
-        return "refusal"
-    return "wrong_language" if wrong_language(question, terms, model) else None
+        return "refusal", -1, None
+    if other_script(question, terms):
+        return "wrong_language", -1, None
+    lang, words = model.language([w for w in question if not w.isdigit()]), language_words(question, terms)
+    return (None, model.languages.index(lang), words) if lang and words else (None, -1, None)
+
+
+def defect_of(prompt: str, response: str | None, model: LanguageModel) -> str | None:
+    return first_look(prompt, response, model)[0]
+
+
+def answer_counts(runs: DataFrame, model: LanguageModel) -> DataFrame:
+    """word, lang, n: how many runs of questions in the language of that number have the word in their responses; the
+    empty word counts the runs. All runs with a prompt and a response that is no copy of the question count."""
+    sent = runs.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held: Counter = Counter()
+            for prompt, response in zip(batch["prompt_text"], batch["llm_response_text"]):
+                question, (terms, _, _) = question_of(prompt), read_response(response)
+                lang = sent.value.language(question)
+                if lang is not None and not is_copy(question, [w for t in terms for w in words_of(t)]):
+                    k = sent.value.languages.index(lang)
+                    held.update((w, k) for w in ["", *language_words(question, terms)])
+            yield pd.DataFrame([(w, k, n) for (w, k), n in held.items()], columns=["word", "lang", "n"])
+
+    asked = runs.where("prompt_text IS NOT NULL AND llm_response_text IS NOT NULL").select("prompt_text", "llm_response_text")
+    return asked.mapInPandas(count, "word string, lang int, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+
+
+def word_evidence(counts: DataFrame, model: LanguageModel) -> DataFrame:
+    """word, evidence (one figure a language) of every word of answer_counts; marked for broadcast only if few."""
+    answered = [0] * len(model.languages)
+    for r in counts.where("word = ''").collect():  # one row a language
+        answered[r["lang"]] = r["n"]
+    sent = counts.sparkSession.sparkContext.broadcast((model, answered))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sent.value[0].evidence(w, list(h), sent.value[1]) for w, h in zip(batch["word"], batch["held"])]
+            yield pd.DataFrame({"word": batch["word"], "evidence": pd.Series(found, dtype=object)})
+
+    held = F.array(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)) for k in range(len(model.languages))])
+    words = counts.where("word <> ''").groupBy("word").agg(held.alias("held"))
+    weighed = words.mapInPandas(weigh, "word string, evidence array<double>")
+    return F.broadcast(weighed) if fits(words, FEW_WORDS) else weighed
+
+
+def wrong_languages(open_runs: DataFrame, evidence: DataFrame, languages: int, margin: float = 5.0) -> DataFrame:
+    """run_id of distinct (run_id, lang, words) whose words belong to another language by margin."""
+    each = open_runs.select("run_id", "lang", F.md5(F.concat_ws(" ", "words")).alias("key"), F.explode("words").alias("word"))
+    sums = F.array(*[F.sum(F.col("evidence")[k]) for k in range(languages)])
+    totals = each.join(evidence, "word").groupBy("run_id", "lang", "key").agg(sums.alias("sums"))
+    return totals.where(F.array_max("sums") - F.col("sums")[F.col("lang")] > margin).select("run_id")
 
 
 def broken_pairs(runs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -361,14 +392,24 @@ def broken_pairs(runs: DataFrame, docs: DataFrame) -> DataFrame:
     empty (null, or no term in it), truncated (stops before its end), refusal, copy (the whole wording of the question),
     wrong_language (terms not in the question's language). Stored flags are not looked at. Runs with a null
     prompt_text or run_id give no row; repeated rows give one. docs (doc_id, text, lang) trains the language model; with
-    no labelled document only other scripts are found. Prompts and responses are read whole.
+    no labelled document only other scripts are found. What the responses' words say is counted over all runs. Prompts
+    and responses are read whole, twice.
     """
-    model = runs.sparkSession.sparkContext.broadcast(train_on_answers(train_language_model(docs), runs))
+    model = train_language_model(docs)
+    sent = runs.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [defect_of(p, r if isinstance(r, str) else None, model.value) for p, r in zip(batch["prompt_text"], batch["llm_response_text"])]
-            yield pd.DataFrame({"run_id": batch["run_id"], "defect": pd.Series(found, dtype=object)})
-
-    pairs = runs.where("prompt_text IS NOT NULL AND run_id IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
-    return pairs.mapInPandas(judge, "run_id bigint, defect string").where("defect IS NOT NULL").distinct()
+            found = [first_look(p, r if isinstance(r, str) else None, sent.value) for p, r in zip(batch["prompt_text"], batch["llm_response_text"])]
+            yield pd.DataFrame({"run_id": batch["run_id"]} | {c: pd.Series([f[i] for f in found], dtype=t) for i, (c, t) in enumerate((("defect", object), ("lang", "int32"), ("words", object)))})
+
+    asked = runs.where("prompt_text IS NOT NULL AND run_id IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
+    seen = asked.mapInPandas(look, "run_id bigint, defect string, lang int, words array<string>")
+    seen = seen.where("defect IS NOT NULL OR words IS NOT NULL").distinct()
+    if not model.languages:
+        return seen.select("run_id", "defect")
+    seen = cut_lineage(seen)
+    evidence = word_evidence(cut_lineage(answer_counts(runs, model)), model)
+    wrong = wrong_languages(seen.where("words IS NOT NULL"), evidence, len(model.languages))
+    settled = seen.where("defect IS NOT NULL").select("run_id", "defect")
+    return settled.unionByName(wrong.withColumn("defect", F.lit("wrong_language"))).distinct()

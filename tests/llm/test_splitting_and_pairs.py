@@ -96,6 +96,23 @@ def test_defects(spark):
     assert pairs.broken_pairs(df, docs.limit(0)).where("defect = 'copy'").count() == 4
 
 
+@pytest.mark.parametrize("few", [50_000, 10])
+def test_every_run_counts_for_the_language(spark, monkeypatch, few):
+    if hasattr(pairs, "FEW_WORDS"):
+        monkeypatch.setattr(pairs, "FEW_WORDS", few)
+    name = lambda g: "".join("bdfghklmnp"[int(c)] for c in f"{g:04}")
+    en, de = "the keeper of the river", "der wärter von dem fluss"
+    runs, wrong = [], set()
+    for g in range(1000):
+        own = str([name(g) + c for c in "vwxyz"]).replace("'", '"')
+        wrong.add(len(runs))
+        for question, response in [(en, own)] + [(de, own)] * 10 + [(en, f'["{name(g)}q"]')] * 4:
+            runs.append((len(runs), f"User question: {question}", response))
+    docs = spark.createDataFrame([(1, "en", en), (2, "de", de)], "doc_id long, lang string, text string")
+    df = spark.createDataFrame(runs, "run_id long, prompt_text string, llm_response_text string")
+    assert {tuple(r) for r in pairs.broken_pairs(df, docs).collect()} == {(i, "wrong_language") for i in wrong}
+
+
 def test_long_response():
     model = pairs.LanguageModel({})
     assert pairs.defect_of(PROMPT, '["' + "a" * 1_000_000 + '"]', model) is None
