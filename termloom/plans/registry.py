@@ -1,11 +1,14 @@
 """Registered queries over the test tables and the SQL that checks them.
 
 Documents are indexed under their name, the earliest doc_id first. Search queries are the held-out items (a stated
-query set), evaluation queries the documents whose id is divisible by 50, asked by a few of their own words.
+query set) and, in the queries named logged_..., the logged questions whose id is divisible by 50, which grow with the
+log; evaluation queries are the documents whose id is divisible by 50, asked by a few of their own words.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +148,10 @@ def item_queries(spark, d):
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def logged_queries(spark, d):
+    return questions(spark, d).where(F.col("query_id") % 50 == 0)
+
+
 def idf_table(spark, d):
     ix = index(spark, d)
     return retrieval.idf_of(ix.terms, ix.stats).select("term", "df", F.round("idf", 9).alias("idf"))
@@ -160,8 +167,8 @@ def explained(spark, d, queries):
     return scores, passages.select("passage_id", *KEY)
 
 
-def bm25_explain(spark, d):
-    scores, names = explained(spark, d, item_queries(spark, d))
+def bm25_explain(spark, d, asked=item_queries):
+    scores, names = explained(spark, d, asked(spark, d))
     return scores.join(names, "passage_id").select("query_id", *KEY, "term", "qtf", F.round("score", 6).alias("score"))
 
 
@@ -175,23 +182,23 @@ def ranked(spark, d, queries, k):
 SHOWN = ("query_id", "rank", *KEY, "score")
 
 
-def bm25_search_topk(spark, d):
-    return ranked(spark, d, item_queries(spark, d), 5).select(*SHOWN)
+def bm25_search_topk(spark, d, asked=item_queries):
+    return ranked(spark, d, asked(spark, d), 5).select(*SHOWN)
 
 
-def bm25_batch_top100(spark, d):
-    return ranked(spark, d, item_queries(spark, d), 100).select(*SHOWN)
+def bm25_batch_top100(spark, d, asked=item_queries):
+    return ranked(spark, d, asked(spark, d), 100).select(*SHOWN)
 
 
-def bm25_duplicate_terms(spark, d):
+def bm25_duplicate_terms(spark, d, asked=item_queries):
     """Every question asked twice over in one text: each term counts double."""
-    twice = item_queries(spark, d).withColumn("query_text", F.concat_ws(" ", "query_text", "query_text"))
+    twice = asked(spark, d).withColumn("query_text", F.concat_ws(" ", "query_text", "query_text"))
     return ranked(spark, d, twice, 5).select(*SHOWN)
 
 
-def bm25_stored_top10(spark, d):
-    """The items against the stored index."""
-    bag = retrieval.query_terms(item_queries(spark, d))
+def bm25_stored_top10(spark, d, asked=item_queries):
+    """The questions against the stored index."""
+    bag = retrieval.query_terms(asked(spark, d))
     posted, terms, stats = indexing.stored_index(table(spark, d, "postings"), table(spark, d, "terms"), bag)
     found = retrieval.passage_scores(retrieval.term_scores(bag, posted, terms, stats))
     return retrieval.top_k(found, 10).select("query_id", "rank", "passage_id", "score")
@@ -293,14 +300,14 @@ def candidate_cap(spark, d):
     return table(spark, d, "queries").select("query_id", F.array_join(listed, ", ").alias("listed"))
 
 
-def generation_prompt(spark, d):
+def generation_prompt(spark, d, asked=item_queries):
     passages = index(spark, d).passages
-    return context.passage_prompts(ranked(spark, d, item_queries(spark, d), 5).select("query_id", "passage_id", "rank"), passages, item_queries(spark, d))
+    return context.passage_prompts(ranked(spark, d, asked(spark, d), 5).select("query_id", "passage_id", "rank"), passages, asked(spark, d))
 
 
-def sources_json(spark, d):
+def sources_json(spark, d, asked=item_queries):
     passages = index(spark, d).passages
-    return context.sources_json(ranked(spark, d, item_queries(spark, d), 5).select("query_id", "passage_id", "rank", "score"), passages)
+    return context.sources_json(ranked(spark, d, asked(spark, d), 5).select("query_id", "passage_id", "rank", "score"), passages)
 
 
 def responses(spark, d):
@@ -390,6 +397,8 @@ QUERIES = {
         log_latency_report, log_most_asked, log_zero_results,
     )
 }
+SEARCHES = (bm25_explain, bm25_search_topk, bm25_batch_top100, bm25_duplicate_terms, bm25_stored_top10, generation_prompt, sources_json)
+QUERIES |= {f"logged_{f.__name__}": partial(f, asked=logged_queries) for f in SEARCHES}
 
 # SQL
 
@@ -581,3 +590,5 @@ WITH known AS (SELECT DISTINCT term FROM terms WHERE term_id IN (SELECT term_id
 hit AS (SELECT DISTINCT query_id FROM (SELECT query_id, UNNEST({KEPT.format('question_text')}) AS term FROM queries) JOIN known USING (term))
 SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM hit)""",
 }
+LOGGED = "FROM (SELECT query_id AS item_id, question_text AS text FROM queries WHERE query_id % 50 = 0)"
+ORACLES |= {f"logged_{f.__name__}": ORACLES[f.__name__].replace("FROM eval_items", LOGGED) for f in SEARCHES}

@@ -170,3 +170,17 @@ def test_lexicon_rejects_short_lines(spark):
         with pytest.raises(Exception, match="bad"):
             parse(spark.createDataFrame([(line,)], "value string"), "noun").collect()
     assert math.isfinite(1.0)
+
+
+def test_logged_questions_are_searched(spark, tmp_path):
+    words = ["ferry", "quay", "lamp"]
+    spark.createDataFrame([(i, f"d{i}", f"{w} keeper") for i, w in enumerate(words)], "doc_id long, document_name string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(q, words[q % 3]) for q in range(1, 301)] + [(350, None)]
+    spark.createDataFrame(asked, "query_id long, question_text string").write.parquet(f"{tmp_path}/queries.parquet")
+    names = [f"logged_{n}" for n in ("bm25_search_topk", "bm25_batch_top100", "bm25_duplicate_terms", "bm25_explain", "generation_prompt", "sources_json")]
+    for n in names:
+        rows = registry.QUERIES[n](spark, str(tmp_path)).collect()
+        assert sorted(r["query_id"] for r in rows) == list(range(50, 301, 50)), n
+        assert n in registry.ORACLES and "eval_items" not in registry.ORACLES[n]
+    found = {r["query_id"]: r["document_name"] for r in registry.QUERIES[names[0]](spark, str(tmp_path)).collect()}
+    assert found == {q: f"d{q % 3}" for q in range(50, 301, 50)}
