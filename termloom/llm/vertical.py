@@ -9,7 +9,7 @@ exist. A term reaches a word at most once a layer, so a hot term is no hotter th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.scoring import BM25Params, bm25_idf, bm25_term_score, residual_idf
@@ -33,10 +33,21 @@ def passage_bitmap(ids: DataFrame, passage_id: str = "passage_id") -> DataFrame:
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
-    """term_id, term, term_key: ids of the same term share the smallest of them as key. Null ids and terms are left out;
-    an id listed under several terms stands for each."""
+    """term_id, term, term_key: ids of the same term share one key. Null ids and terms are left out; an id listed under
+    several terms stands for each."""
     known = terms.select("term_id", "term").where("term_id IS NOT NULL AND term IS NOT NULL").distinct()
-    return known.join(known.groupBy("term").agg(F.min("term_id").alias("term_key")), "term")
+    return known.join(term_keys(terms), "term")
+
+
+def term_keys(terms: DataFrame) -> DataFrame:
+    """term, term_key of every distinct term with an id, no key twice: the smallest of the term's ids, or, where a smaller
+    term has the same one, a number above all ids. Only these namesakes are numbered in one task."""
+    known = terms.where("term_id IS NOT NULL AND term IS NOT NULL")
+    least = known.groupBy("term").agg(F.min("term_id").cast("bigint").alias("term_key"))
+    ranked = least.withColumn("nth", F.row_number().over(Window.partitionBy("term_key").orderBy("term")))
+    above = known.agg(F.max("term_id").cast("bigint").alias("n")).scalar()
+    namesakes = ranked.where("nth > 1").withColumn("term_key", above + F.row_number().over(Window.orderBy("term")))
+    return ranked.where("nth = 1").unionByName(namesakes).select("term", "term_key")
 
 
 def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,7 +92,7 @@ def term_frequencies(
     """
     counts = _counts(term_bitmaps(postings, passages, terms))
     total = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    names = terms.where("term_id IS NOT NULL AND term IS NOT NULL").groupBy("term").agg(F.min("term_id").alias("term_key"))
+    names = term_keys(terms)
     held = F.coalesce("passage_count", F.lit(0))
     mark = F.when(held <= rare_at_most, "rare").when(held * common_share > total, "common")
     return names.join(counts, "term_key", "left").select(
@@ -109,8 +120,7 @@ def term_scores(
     stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("token_count").alias("avgdl"))
     n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
 
-    names = vocabulary(terms).groupBy("term_key").agg(F.min("term").alias("term"))
-    weights = _counts(bitmaps).join(names, "term_key").select("term_key", "term", "passage_count", "total_frequency")
+    weights = _counts(bitmaps).join(term_keys(terms), "term_key").select("term_key", "term", "passage_count", "total_frequency")
     weights = weights.withColumn("idf", bm25_idf(n, F.col("passage_count"))).withColumn(
         "residual", residual_idf(n, F.col("passage_count"), F.col("total_frequency"))
     )

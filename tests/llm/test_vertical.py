@@ -77,6 +77,16 @@ def test_scores_by_brute_force(spark, tables):
     assert {r["passage_id"]: r["term"] for r in vertical.top_terms(scores).collect()} == {p: t for p, (_, t) in best.items()}
 
 
+def test_one_id_under_two_terms(spark):
+    postings = spark.createDataFrame([(1, p, 1, 30) for p in range(4)] + [(2, 9, 2, 30), (3, 9, 3, 30)], "term_id long, passage_id long, term_frequency int, token_count int")
+    passages = spark.createDataFrame([(p, "d") for p in range(10)], "passage_id long, document_name string")
+    terms = spark.createDataFrame([(1, "ferry"), (1, "quay"), (2, "quay"), (3, "ferry"), (3, "lamp")], "term_id long, term string")
+    got = {r["term"]: (r["total_frequency"], r["passage_count"]) for r in vertical.term_frequencies(postings, passages, terms).collect()}
+    assert got == {"ferry": (7, 5), "quay": (6, 5), "lamp": (3, 1)}
+    rows = {(r["passage_id"], r["term"], r["term_frequency"]) for r in vertical.term_scores(postings, passages, terms).collect()}
+    assert rows == {(p, t, 1) for p in range(4) for t in ("ferry", "quay")} | {(9, "ferry", 3), (9, "quay", 2), (9, "lamp", 3)}
+
+
 def test_empty_tables(spark, tables):
     *_, postings, passages, terms = tables
     assert {r["mark"] for r in vertical.term_frequencies(postings.limit(0), passages, terms).collect()} == {"rare"}
