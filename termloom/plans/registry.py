@@ -22,6 +22,7 @@ from termloom.sources import lexicon as lexicon_source
 POSTING_KEYS = ("term_id", "passage_id")
 WINDOW_TOKENS, PROMPT_TOKENS, SESSION_SECONDS = 20, 12_000, 86_400
 KEY = ("document_name", "chunk_id")
+ROW_RANGE = 1000
 
 
 def p3_profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -229,6 +230,13 @@ def row_range_scan(spark, d):
     return row_range(table(spark, d, "bulk_rows"), 100, 600).select("row_num", "file_name")
 
 
+def row_range_cover(spark, d):
+    """The whole staged table in ranges of ROW_RANGE numbers."""
+    from termloom.sources.tables import row_ranges
+
+    return row_ranges(table(spark, d, "bulk_rows"), ROW_RANGE).select("range_id", "first_row", "end_row", "row_num", "file_name", "raw_line")
+
+
 def dedupe_first_document(spark, d):
     return first_docs(spark, d)
 
@@ -389,7 +397,7 @@ QUERIES = {
         passage_token_counts, postings, vocabulary, corpus_stats, index_integrity_checks, term_document_frequency,
         lemma_map, lemmatized_terms, wordnet_parse, wordnet_candidates,
         idf_table, bm25_explain, bm25_search_topk, bm25_batch_top100, bm25_duplicate_terms, bm25_stored_top10,
-        lookup_terms, resolve_terms, document_names_for_passages, row_range_scan, dedupe_first_document, rebuild_union_replace,
+        lookup_terms, resolve_terms, document_names_for_passages, row_range_scan, row_range_cover, dedupe_first_document, rebuild_union_replace,
         eval_per_query, eval_summary, eval_skipped,
         history_window, document_window, document_prompt, candidate_cap, generation_prompt, sources_json,
         parse_selected_terms, tool_choice, think_strip,
@@ -539,6 +547,10 @@ SELECT a.term, COALESCE(k.term_id, (SELECT MAX(term_id) FROM known) + ROW_NUMBER
 FROM asked a LEFT JOIN known k USING (term)""",
     "document_names_for_passages": "SELECT passage_id, document_name FROM (SELECT DISTINCT passage_id FROM postings) LEFT JOIN passages USING (passage_id)",
     "row_range_scan": "SELECT row_num, file_name FROM bulk_rows WHERE row_num >= 100 AND row_num < 600",
+    "row_range_cover": f"""
+WITH b AS (SELECT MIN(row_num) AS lo, MAX(row_num) AS hi FROM bulk_rows)
+SELECT (row_num - lo) // {ROW_RANGE} AS range_id, lo + (row_num - lo) // {ROW_RANGE} * {ROW_RANGE} AS first_row,
+  LEAST(lo + (row_num - lo) // {ROW_RANGE} * {ROW_RANGE} + {ROW_RANGE}, hi + 1) AS end_row, row_num, file_name, raw_line FROM bulk_rows, b""",
     "dedupe_first_document": f"WITH {DOCS} SELECT * FROM docs",
     "rebuild_union_replace": "SELECT document_name, arg_max(text, doc_id) AS text FROM documents GROUP BY document_name",
     "eval_per_query": f"{EVALUATED} SELECT query_id, ROUND(reciprocal_rank, 6) AS reciprocal_rank, ROUND(recall_10, 6) AS recall_10, ROUND(recall_100, 6) AS recall_100 FROM each",

@@ -40,6 +40,16 @@ def row_range(df: DataFrame, first: int, end: int) -> DataFrame:
     return df.where((F.col("row_num") >= first) & (F.col("row_num") < end)).orderBy("row_num")
 
 
+def row_ranges(df: DataFrame, width: int) -> DataFrame:
+    """df's rows with range_id, first_row, end_row: the table from its smallest to its largest row_num cut into ranges of
+    width numbers, the last one shorter. Ranges neither overlap nor leave a gap; one without rows gives none. Rows
+    without row_num are in no range and are left out."""
+    low, high = (df.agg(f("row_num").cast("bigint").alias("n")).scalar() for f in (F.min, F.max))
+    numbered = df.where("row_num IS NOT NULL").withColumn("range_id", F.call_function("div", F.col("row_num") - low, F.lit(width)))
+    first = low + F.col("range_id") * width
+    return numbered.withColumns({"first_row": first, "end_row": F.least(first + width, high + 1)})
+
+
 def read_whole_files(spark: SparkSession, path: str) -> DataFrame:
     """document_name (the base file name), text (up to a NUL character) of each file."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("document_name"), F.col("value"))

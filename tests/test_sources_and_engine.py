@@ -196,3 +196,16 @@ def test_streams(spark, tmp_path):
     assert {r["term"] for r in spark.read.parquet(str(tmp_path / "ix/postings")).collect()} == {"ferry", "quay"}
     log = spark.createDataFrame([(0, 1), (10, 0), (7200, None)], "created_at long, succeeded int")
     assert [(r["questions"], r["failed"]) for r in incremental.question_windows(log).orderBy("window_start").collect()] == [(2, 1), (1, 0)]
+
+
+def test_row_ranges_cover_the_table(spark):
+    from termloom.sources import tables
+
+    numbers = [n for n in range(-7, 95) if not 20 <= n < 50]
+    df = spark.createDataFrame([(n, f"line {n}") for n in numbers] + [(None, "x")], "row_num long, raw_line string")
+    rows = tables.row_ranges(df, 10).collect()
+    assert sorted((r["row_num"], r["raw_line"]) for r in rows) == [(n, f"line {n}") for n in numbers]
+    assert all(r["first_row"] <= r["row_num"] < r["end_row"] for r in rows)
+    ranges = sorted({(r["range_id"], r["first_row"], r["end_row"]) for r in rows})
+    assert ranges == [(k, 10 * k - 7, min(10 * k + 3, 95)) for k in range(11) if k not in (3, 4)]
+    assert tables.row_ranges(df.limit(0), 10).count() == 0
