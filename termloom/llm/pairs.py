@@ -1,12 +1,13 @@
 """Prompt and response pairs that are no usable answer, with the type of defect.
 
 Prompt and response are aligned word by word: shingle containment and the longest common subsequence find copies of the
-question, alignment with refusal templates finds refusals, and the response's words outside the alignment tell its
-language.
+question, alignment with refusal templates finds refusals (module refusals), further templates are learned from wordings
+that recur over questions they share no word with, and the response's words outside the alignment tell its language.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
@@ -17,62 +18,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm import refusals
 from termloom.session import cut_lineage, fits
 
 WORD = re.compile(r"[^\W_]+")
 QUESTION = re.compile(r'(?im)^\s*(?:user\s+)?question:\s*(.*?)\s*$')
 THINK = re.compile(r"(?s)\A\s*<think>.*?</think>\s*")
-LABEL = re.compile(r"\A[^\[{\"\n]{0,40}:\s*(?=[\[{])")
-
-#: What declining sounds like. Each line is a template; a response that holds its words in order, within
-#: SPREAD times its length, is a refusal. Apostrophes split words, so "can't" is "can t".
-REFUSALS = """
-i cannot assist
-i can not help
-i can t help
-i cannot help
-i can t assist
-i m unable to
-i am unable to
-i am not able to
-i m not able to
-i won t do
-i must decline
-i d rather not
-i would rather not
-not appropriate for me to
-instructions do not allow me
-no answer can be given
-against my guidelines
-don t have enough information
-do not have enough information
-i cannot answer
-i can t answer
-i cannot provide
-i can t provide
-as an assistant i not able
-tut mir leid nicht
-kann ich nicht helfen
-kann ich nicht beantworten
-darf ich nicht beantworten
-möchte ich keine auskunft
-keine antwort geben
-m est impossible de répondre
-je ne peux pas
-je préfère ne pas
-je suis désolé pas
-je refuse de
-no puedo ayudar
-no puedo responder
-no me está permitido
-prefiero no dar
-lo siento no puedo
-no es posible responder
-"""
-SPREAD = 2.0
+LABEL = re.compile(r"\A[^\[{\"\n]*:\s*(?=[\[{])")
+
 LANGUAGES = ("en", "de", "fr", "es")
-#: At most so many labelled documents, of at most so many characters each, train the language model.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 20_000
+#: At most so many labelled documents train the language model, on their whole texts.
+SAMPLE_ROWS = 3000
+#: A wording of SHINGLE words is a learned template if replies to at least so many different questions hold it.
+SHINGLE, RECURS = 3, 5
 #: Up to so many distinct words of responses go to every task, more are joined.
 FEW_WORDS = 50_000
 #: What spelling may say about one word, in nats; a word seen in responses is mostly judged by those.
@@ -112,17 +70,8 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
     return len(question) > 1 and common_subsequence(question, answer) >= 0.95 * len(question) and containment(question, answer) >= 0.9
 
 
-_templates = [t.split() for t in REFUSALS.strip().split("\n")]
-
-
-def is_refusal(answer: list[str]) -> bool:
-    """Whether a template's words stand in order in a stretch of the answer at most SPREAD times as long."""
-    for t in _templates:
-        reach = max(len(t), int(SPREAD * len(t)))
-        for i, w in enumerate(answer):
-            if w == t[0] and common_subsequence(t, answer[i : i + reach]) == len(t):
-                return True
-    return False
+def hash_of(words: list[str]) -> str:
+    return hashlib.md5(" ".join(words).encode()).hexdigest()
 
 
 def _strings(value) -> list[str]:
@@ -258,33 +207,47 @@ class LanguageModel:
         return max(sums, key=lambda x: sums[x]) if sums and words else None
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> list:
-    """At most rows rows, those of the least hash of key. Rows above a hash that about rows of them stay below are
-    dropped where they are read, so the driver gets about rows of them, however many tasks there are."""
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most rows rows, those of the least hash of key. Keys above a hash that about rows of them stay below are
+    dropped where they are read, and only keys are sorted, so no more than about rows keys meet, however many tasks there are."""
     total = df.count()
     span = 1 << 30
     below = span if total <= rows else span * rows // total
     near = df.where(F.pmod(F.xxhash64(key), F.lit(span)) < below)
-    return near.orderBy(F.xxhash64(key), key).limit(rows).collect()
+    if total <= rows:
+        return near
+    chosen = near.select(key).orderBy(F.xxhash64(key), key).limit(rows)  # rows bounds it, so it may be broadcast
+    return near.join(F.broadcast(chosen.distinct()), key, "left_semi")
 
 
-def train_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> LanguageModel:
-    """Fitted on at most rows labelled documents, those of the least hash of their id among texts of at most chars.
+def train_language_model(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fitted on at most rows labelled documents (and repeats of their ids), those of the least hash of their id.
 
-    Labels are taken in lower case. Wrong ones are put right by one round of the model's own judgement.
+    Labels are taken in lower case. Wrong ones are put right by one round of the model's own judgement. Words are counted
+    where the texts are; the driver gets the counts.
     """
     label = F.lower(F.trim("lang"))
-    fit = docs.select("doc_id", label.alias("lang"), "text").where(label.isin(list(LANGUAGES)) & (F.length("text") <= chars))
-    texts = [(r["lang"], [w for w in words_of(r["text"]) if not w.isdigit()]) for r in bounded_sample(fit, "doc_id", rows)]
+    fit = docs.select("doc_id", label.alias("lang"), "text").where(label.isin(list(LANGUAGES)) & F.col("text").isNotNull())
+    sample = cut_lineage(bounded_sample(fit, "doc_id", rows))
+
+    def fitted(model: LanguageModel | None) -> LanguageModel:
+        sent = docs.sparkSession.sparkContext.broadcast(model)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                held: Counter = Counter()
+                for lang, text in zip(batch["lang"], batch["text"]):
+                    words = [w for w in words_of(text) if not w.isdigit()]
+                    told = sent.value.language(words) if sent.value else None
+                    held.update((told or lang, w) for w in words)
+                yield pd.DataFrame([(x, w, n) for (x, w), n in held.items()], columns=["lang", "word", "n"])
 
-    def fitted(labelled) -> LanguageModel:
         counts: dict[str, Counter] = {x: Counter() for x in LANGUAGES}
-        for lang, words in labelled:
-            counts[lang].update(words)
+        for r in sample.select("lang", "text").mapInPandas(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+            counts[r["lang"]][r["word"]] = r["n"]
         return LanguageModel(counts)
 
-    first = fitted(texts)
-    return fitted([(first.language(w) or x, w) for x, w in texts])
+    return fitted(fitted(None))
 
 
 def own_words(question: list[str], terms: list[str]) -> list[str]:
@@ -312,34 +275,54 @@ def other_script(question: list[str], terms: list[str]) -> bool:
     return bool(own and question) and all(map(_latin, question)) and sum(not _latin(w) for w in own) * 2 > len(own)
 
 
-def first_look(prompt: str, response: str | None, model: LanguageModel) -> tuple[str | None, int, list[str] | None]:
-    """(defect, language, words): a defect that the pair itself shows; else, where the model knows the question's language,
-    its number and the response's words that are to be weighed against it."""
+def wordings(question: list[str], terms: list[str], sentences: bool) -> list[str] | None:
+    """Runs of SHINGLE words of each clause (a shorter clause whole) of a reply in sentences that shares no word of more
+    than three letters with the question; None for any other."""
+    lone = len(terms) == 1 and terms[0].rstrip().endswith((".", "!"))
+    clauses = [c for t in terms for c in refusals.clauses_of(t)]
+    if not (sentences or lone) or not refusals.is_spoken(clauses) or {w for c in clauses for w in c if len(w) > 3} & set(question):
+        return None
+    return sorted({" ".join(c[i : i + SHINGLE]) for c in clauses for i in range(max(1, len(c) - SHINGLE + 1))})
+
+
+def first_look(prompt: str, response: str | None, model: LanguageModel) -> tuple[str | None, int, list[str] | None, list[str] | None]:
+    """(defect, language, words, wordings): a defect that the pair itself shows; else, where the model knows the question's
+    language, its number and the response's words that are to be weighed against it, and what may recur over questions."""
     question = question_of(prompt)
     terms, cut_off, prose = read_response(response)
     if not terms and not cut_off:
-        return "empty", -1, None
+        return "empty", -1, None, None
     answer = [w for t in terms for w in words_of(t)]
     whole = is_copy(question, answer)
     if cut_off and not (prose and whole):
-        return "truncated", -1, None
+        return "truncated", -1, None, None
     rest = Counter(answer)
     if whole:
         rest.subtract(question)
         left = [w for w in answer if rest[w] > 0]
-        return "refusal" if is_refusal(left) else "copy", -1, None
-    if any(len(words_of(t)) > 2 for t in terms) and is_refusal(answer):
-        return "refusal", -1, None
+        return "refusal" if refusals.declines(left) else "copy", -1, None, None
+    if refusals.is_refusal(terms, prose, question):
+        return "refusal", -1, None, None
     if other_script(question, terms):
-        return "wrong_language", -1, None
+        return "wrong_language", -1, None, None
     lang, words = model.language([w for w in question if not w.isdigit()]), language_words(question, terms)
-    return (None, model.languages.index(lang), words) if lang and words else (None, -1, None)
+    known = bool(lang and words)
+    return None, model.languages.index(lang) if known else -1, words if known else None, wordings(question, terms, prose)
 
 
 def defect_of(prompt: str, response: str | None, model: LanguageModel) -> str | None:
     return first_look(prompt, response, model)[0]
 
 
+def learned_refusals(open_runs: DataFrame, recurs: int = RECURS) -> DataFrame:
+    """run_id of distinct (run_id, asked, wordings) that consist of recurring wordings only: each stands in replies to at
+    least recurs different questions. Replies are kept apart by what they hold, so no row needs another's."""
+    each = open_runs.select("run_id", F.md5(F.concat_ws("|", "wordings")).alias("key"), "asked", F.size("wordings").alias("all"), F.explode("wordings").alias("wording"))
+    known = each.select("wording", "asked").distinct().groupBy("wording").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= recurs)
+    told = each.join(known, "wording", "left_semi").groupBy("run_id", "asked", "key", "all").agg(F.count(F.lit(1)).alias("n"))
+    return told.where(F.col("n") == F.col("all")).select("run_id").distinct()
+
+
 def answer_counts(runs: DataFrame, model: LanguageModel) -> DataFrame:
     """word, lang, n: how many runs of questions in the language of that number have the word in their responses; the
     empty word counts the runs. All runs with a prompt and a response that is no copy of the question count."""
@@ -392,24 +375,27 @@ def broken_pairs(runs: DataFrame, docs: DataFrame) -> DataFrame:
     empty (null, or no term in it), truncated (stops before its end), refusal, copy (the whole wording of the question),
     wrong_language (terms not in the question's language). Stored flags are not looked at. Runs with a null
     prompt_text or run_id give no row; repeated rows give one. docs (doc_id, text, lang) trains the language model; with
-    no labelled document only other scripts are found. What the responses' words say is counted over all runs. Prompts
-    and responses are read whole, twice.
+    no labelled document only other scripts are found. What the responses' words say, and which wordings recur, is counted
+    over all runs. Prompts and responses are read whole, twice.
     """
     model = train_language_model(docs)
     sent = runs.sparkSession.sparkContext.broadcast(model)
+    kinds = {"defect": object, "lang": "int32", "words": object, "wordings": object}
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [first_look(p, r if isinstance(r, str) else None, sent.value) for p, r in zip(batch["prompt_text"], batch["llm_response_text"])]
-            yield pd.DataFrame({"run_id": batch["run_id"]} | {c: pd.Series([f[i] for f in found], dtype=t) for i, (c, t) in enumerate((("defect", object), ("lang", "int32"), ("words", object)))})
+            asked = [hash_of(question_of(p)) if f[3] else None for p, f in zip(batch["prompt_text"], found)]
+            columns = {c: pd.Series([f[i] for f in found], dtype=t) for i, (c, t) in enumerate(kinds.items())}
+            yield pd.DataFrame({"run_id": batch["run_id"], "asked": pd.Series(asked, dtype=object)} | columns)
 
     asked = runs.where("prompt_text IS NOT NULL AND run_id IS NOT NULL").select("run_id", "prompt_text", "llm_response_text")
-    seen = asked.mapInPandas(look, "run_id bigint, defect string, lang int, words array<string>")
-    seen = seen.where("defect IS NOT NULL OR words IS NOT NULL").distinct()
+    seen = asked.mapInPandas(look, "run_id bigint, asked string, defect string, lang int, words array<string>, wordings array<string>")
+    seen = cut_lineage(seen.where("defect IS NOT NULL OR words IS NOT NULL OR wordings IS NOT NULL").distinct())
+    learned = learned_refusals(seen.where("wordings IS NOT NULL"))
+    settled = seen.where("defect IS NOT NULL").select("run_id", "defect").unionByName(learned.withColumn("defect", F.lit("refusal")))
     if not model.languages:
-        return seen.select("run_id", "defect")
-    seen = cut_lineage(seen)
+        return settled.distinct()
     evidence = word_evidence(cut_lineage(answer_counts(runs, model)), model)
-    wrong = wrong_languages(seen.where("words IS NOT NULL"), evidence, len(model.languages))
-    settled = seen.where("defect IS NOT NULL").select("run_id", "defect")
+    wrong = wrong_languages(seen.where("words IS NOT NULL"), evidence, len(model.languages)).join(learned, "run_id", "left_anti")
     return settled.unionByName(wrong.withColumn("defect", F.lit("wrong_language"))).distinct()

@@ -1,10 +1,15 @@
 import random
 import re
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import pairs, splitting
+from termloom.llm import pairs, refusals, splitting
+
+sys.path.insert(0, str(Path(__file__).parent))
+import refusal_wordings  # noqa: E402
 
 TOKEN = re.compile(r"[A-Za-z0-9]+(?:['.,-][A-Za-z0-9]+)*")
 
@@ -96,6 +101,27 @@ def test_defects(spark):
     assert pairs.broken_pairs(df, docs.limit(0)).where("defect = 'copy'").count() == 4
 
 
+def test_refusals_of_other_wordings():
+    told = lambda r: pairs.defect_of(PROMPT, r, pairs.LanguageModel({})) == "refusal"
+    for wordings in (refusal_wordings.REFUSALS, refusal_wordings.SECOND):
+        assert sum(map(told, wordings)) >= 0.9 * len(wordings) and len(wordings) >= 60
+    good = refusal_wordings.GOOD + refusal_wordings.GOOD_TOO
+    assert not any(map(told, good)) and len(good) >= 60
+    assert not refusals.is_refusal([], True) and not refusals.declines([]) and refusals.aligned([], []) is False
+
+
+def test_learned_refusals(spark):
+    """Italian replies that no template covers: learned where they recur over different questions, in any order of clauses."""
+    questions = ["sluice keeper", "estuary sale", "harbour toll", "bridge ledger", "mill race"]
+    replies = ["Richiesta respinta, riprova dopo.", "Richiesta respinta, riprova dopo.", "Riprova dopo, richiesta respinta.", "richiesta respinta.", "riprova dopo."]
+    assert not any(refusals.is_refusal([r], True) for r in replies)
+    rows = [(f"User question: {q}", r) for q in questions for r in replies] + [("User question: weir gate", "gate weir lock."), ("User question: weir gate", "Un altro discorso.")]
+    rows += [(f"User question: {questions[0]}", "solo una domanda.")] * 9
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "run_id long, prompt_text string, llm_response_text string")
+    docs = spark.createDataFrame([], "doc_id long, lang string, text string")
+    assert {tuple(r) for r in pairs.broken_pairs(df, docs).collect()} == {(i, "refusal") for i in range(25)}
+
+
 @pytest.mark.parametrize("few", [50_000, 10])
 def test_every_run_counts_for_the_language(spark, monkeypatch, few):
     if hasattr(pairs, "FEW_WORDS"):
