@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a Parquet table in the shared folder and read back: smaller on disk than a checkpoint, and columns
+    that a reader does not want are not read. It stays until the folder is cleared, as a checkpoint does that is still in use."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/termloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; counts no further than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows
