@@ -112,13 +112,14 @@ FROM (SELECT DISTINCT term FROM names) v LEFT JOIN counted USING (term), total
 """
 SCORED = f"""
 WITH {CLEAN},
+  posted AS (SELECT term, passage_id, SUM(term_frequency) AS term_frequency, MAX(token_count) AS token_count FROM clean GROUP BY ALL),
   stats AS (SELECT COUNT(*) AS n, AVG(token_count) AS avgdl
             FROM (SELECT passage_id, MAX(token_count) AS token_count FROM clean GROUP BY passage_id)),
   scored AS (SELECT c.passage_id, c.term,
       ROUND(ln((n - df + 0.5) / (df + 0.5) + 1)
         * (c.term_frequency * 2.2) / (c.term_frequency + 1.2 * (0.25 + 0.75 * c.token_count / avgdl)), 6) AS bm25,
       ROUND((-log2(df / n::DOUBLE) + log2(1 - exp(-cf / n::DOUBLE))) * c.term_frequency, 6) AS distinctiveness
-    FROM clean c JOIN counted USING (term), stats WHERE c.token_count >= 20)
+    FROM posted c JOIN counted USING (term), stats WHERE c.token_count >= 20)
 """
 TOO_LONG = f"len(regexp_extract_all(text, '{TOKEN_PLAIN.replace(chr(39), chr(39) * 2)}')) > {LIMIT}"
 

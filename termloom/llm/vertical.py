@@ -1,10 +1,11 @@
 """Vertical index: for every term, compressed bitmaps of the passages that hold it.
 
-A bitmap is stored as its non-zero 64-bit words. One row (term, layer, word, bits) says which of the 64 passages of word
+A bitmap is stored as its non-zero 64-bit words. One row (term_id, layer, word, bits) says which of the 64 passages of word
 hold the term; the layer is the occurrence counter: all bits of a row have term_frequency = layer. Rows merge by OR, so
-repeated postings count once, on the map side already. An occurrence total is the sum of layer x cardinality, a document
-frequency is the cardinality of the union of the layers, and dropping passages is an AND with the bitmap of those that
-exist. A term reaches a word at most once a layer, so a hot term is no hotter than N / 64 rows a layer.
+repeated postings count once, on the map side already. The ids of one term are put side by side, not into one layer: an
+occurrence total is the sum of layer x cardinality over all of them, a passage's term_frequency the sum of the layers that
+have its bit, a document frequency the cardinality of the union. Dropping passages is an AND with the bitmap of those that
+exist. A term reaches a word at most once an id and layer, so a hot term is no hotter than N / 64 rows of these.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.scoring import BM25Params, bm25_idf, bm25_term_score, residual_idf
+from termloom.session import stored
 
 #: Each word is spread over so many reducers, by term, where bitmaps meet passages.
 SALTS = 8
@@ -50,11 +52,13 @@ def term_keys(terms: DataFrame) -> DataFrame:
     return ranked.where("nth = 1").unionByName(namesakes).select("term", "term_key")
 
 
-def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame) -> DataFrame:
-    """term_key, layer, word, salt, bits over the postings that have a passage and a term, repeated rows counted once.
+def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame, beside: DataFrame | None = None) -> DataFrame:
+    """word, salt, term_key, layer, bits over the postings that have a passage and a term, repeated rows counted once; the
+    ids of a term give rows of their own.
 
-    Two rows are the same posting if term, passage and term_frequency agree. A null term_frequency counts the passage but
-    no occurrence.
+    Two rows are the same posting if id, passage and term_frequency agree. A null term_frequency counts the passage but
+    no occurrence. Columns of beside (word, ...), one row a word, are put next to each of its bitmaps. A term's words are
+    spread over SALTS reducers where they meet its names, so that a hot term is in no one task.
     """
     p = F.col("passage_id")
     layer = F.coalesce("term_frequency", F.lit(0)).cast("int").alias("layer")
@@ -63,21 +67,19 @@ def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame) ->
         .groupBy("term_id", layer, word_of(p).alias("word"))
         .agg(F.bit_or(bit_of(p)).alias("bits"))
     )
-    keyed = packed.join(vocabulary(terms).select("term_id", "term_key"), "term_id")
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    names = vocabulary(terms).select("term_id", "term_key", slices.alias("slice"))
+    keyed = packed.withColumn("slice", F.pmod("word", F.lit(SALTS)).cast("int")).join(names, ["term_id", "slice"]).drop("slice")
     salted = keyed.withColumn("salt", F.pmod("term_key", F.lit(SALTS)).cast("int"))
-    there = passage_bitmap(passages).select("word", F.col("bits").alias("there"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    kept = salted.join(there.hint("shuffle_hash"), ["word", "salt"]).withColumn("bits", F.col("bits").bitwiseAND(F.col("there")))
-    merged = kept.where("bits <> 0").groupBy("word", "salt", "term_key", "layer").agg(F.bit_or("bits").alias("bits"))
-    return merged
+    words = passage_bitmap(passages).withColumnRenamed("bits", "there")
+    if beside is not None:
+        words = words.join(beside, "word", "left")
+    kept = salted.join(words.select("*", slices.alias("salt")).hint("shuffle_hash"), ["word", "salt"])
+    return kept.withColumn("bits", F.col("bits").bitwiseAND(F.col("there"))).where("bits <> 0").drop("there", "term_id")
 
 
-def _counts(bitmaps: DataFrame) -> DataFrame:
-    """term_key, total_frequency, passage_count."""
-    ones = F.bit_count("bits").cast("bigint")
-    layers = bitmaps.groupBy("word", "salt", "term_key").agg(
-        F.sum(F.col("layer") * ones).alias("tf"), F.bit_or("bits").alias("bits")
-    )
-    return layers.groupBy("term_key").agg(F.sum("tf").alias("total_frequency"), F.sum(ones).alias("passage_count"))
+def ones() -> Column:
+    return F.bit_count(F.col("bits")).cast("bigint")
 
 
 def term_frequencies(
@@ -87,10 +89,13 @@ def term_frequencies(
 
     mark is 'rare' where at most rare_at_most passages hold the term (none included), 'common' where more than one in
     common_share of all rows of passages do, else null; rare comes first. Postings without a known passage or term do
-    not count, repeated ones count once, ids of one term are taken together. Empty postings make every term rare; empty
-    terms give no rows.
+    not count, repeated ones count once; the ids of one term are taken together: their frequencies add up, a passage that
+    several of them meet counts once. Empty postings make every term rare; empty terms give no rows.
     """
-    counts = _counts(term_bitmaps(postings, passages, terms))
+    words = term_bitmaps(postings, passages, terms).groupBy("word", "salt", "term_key").agg(
+        F.sum(F.col("layer") * ones()).alias("tf"), F.bit_or("bits").alias("bits")
+    )
+    counts = words.groupBy("term_key").agg(F.sum("tf").alias("total_frequency"), F.sum(ones()).alias("passage_count"))
     total = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
     names = term_keys(terms)
     held = F.coalesce("passage_count", F.lit(0))
@@ -103,45 +108,50 @@ def term_frequencies(
 def term_scores(
     postings: DataFrame, passages: DataFrame, terms: DataFrame, min_length: int = 20, params: BM25Params = BM25Params()
 ) -> DataFrame:
-    """passage_id, term, term_frequency, token_count, passage_count, bm25, distinctiveness for each posting.
+    """passage_id, term, term_frequency, token_count, passage_count, bm25, distinctiveness: one row a passage and term.
 
     distinctiveness is the term's residual inverse document frequency (observed -log2 of its passage share minus what a
     Poisson term of the same collection frequency would show) times term_frequency. bm25 is the BM25 score of the
-    term in the passage, over the passages that have postings. Postings are cleaned as in term_frequencies; a passage's
-    token_count is the largest of its rows. Rows of passages shorter than min_length, or of unknown length, are left out
-    of the result, not of the statistics. Empty inputs give no rows.
+    term in the passage, over the passages that have postings. Postings are cleaned as in term_frequencies, the
+    frequencies of a term's ids in a passage add up; a passage's token_count is the largest of its rows. Rows of passages
+    shorter than min_length, or of unknown length, are left out of the result, not of the statistics. Empty inputs give no rows.
+
+    The bitmaps are made once and stored in the shared folder; statistics and scores read them there.
     """
     p = F.col("passage_id")
-    bitmaps = term_bitmaps(postings, passages, terms)
-    held = bitmaps.groupBy("word", "salt").agg(F.bit_or("bits").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     lengths = postings.where(p.isNotNull()).groupBy("passage_id").agg(F.max("token_count").alias("token_count"))
     lengths = lengths.withColumn("word", word_of(p)).withColumn("bit", bit_of(p))
+    # the long passages of a word: at most 64, so they fit one row
+    long = lengths.where(F.col("token_count") >= min_length).groupBy("word").agg(F.collect_list(F.struct("passage_id", "token_count")).alias("long"))
+    mask = F.aggregate(F.coalesce("long", F.array().cast(long.schema["long"].dataType)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit_of(x["passage_id"])))
+    bitmaps = term_bitmaps(postings, passages, terms, long.select("word", "long").withColumn("mask", mask))
+    layers = F.collect_list(F.struct("layer", "bits")).alias("layers")
+    words = stored(
+        bitmaps.groupBy("word", "salt", "term_key").agg(layers, F.bit_or("bits").alias("bits"), F.first("long").alias("long"), F.first("mask").alias("mask"))
+        .select("word", "term_key", "layers", "bits", F.when(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.col("long")).alias("long"))
+    )
+    held = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
     measured = lengths.join(held, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("token_count").alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("token_count").alias("avgdl")).first()
+    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"]).cast("double")
 
-    weights = _counts(bitmaps).join(term_keys(terms), "term_key").select("term_key", "term", "passage_count", "total_frequency")
-    weights = weights.withColumn("idf", bm25_idf(n, F.col("passage_count"))).withColumn(
-        "residual", residual_idf(n, F.col("passage_count"), F.col("total_frequency"))
+    tf = F.aggregate("layers", F.lit(0).cast("bigint"), lambda a, x: a + x["layer"] * F.bit_count(x["bits"]))
+    counts = words.groupBy("term_key").agg(F.sum(tf).alias("total_frequency"), F.sum(ones()).alias("passage_count"))
+    weights = counts.join(term_keys(terms), "term_key").select(
+        "term_key", "term", "passage_count", bm25_idf(n, F.col("passage_count")).alias("idf"), residual_idf(n, F.col("passage_count"), F.col("total_frequency")).alias("residual")
     )
-    # passages of one word and length, so that a length reaches the postings without a row per posting
-    masks = (
-        lengths.where(F.col("token_count") >= min_length)
-        .groupBy("word", "token_count")
-        .agg(F.bit_or("bit").alias("mask"))
-        .select("word", "token_count", "mask", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    narrowed = bitmaps.join(masks.hint("shuffle_hash"), ["word", "salt"]).select(
-        "word", "term_key", "layer", "token_count", F.col("bits").bitwiseAND(F.col("mask")).alias("bits")
-    )
-    weighed = narrowed.where("bits <> 0").join(weights, "term_key")
-    members = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
-    rows = weighed.withColumn("i", F.explode(members)).withColumn("passage_id", F.shiftleft("word", 6) + F.col("i"))
-    score = bm25_term_score(F.col("idf"), F.col("layer"), F.col("token_count"), avgdl, params)
+    # a hot term's words meet its weight in SALTS tasks
+    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    narrowed = words.where("long IS NOT NULL").select("term_key", "layers", "bits", "long", F.pmod("word", F.lit(SALTS)).cast("int").alias("slice"))
+    weighed = narrowed.join(weights.select("*", slices.alias("slice")), ["term_key", "slice"])
+    bit = bit_of(F.col("at.passage_id"))
+    rows = weighed.withColumn("at", F.explode("long")).where(F.col("bits").bitwiseAND(bit) != 0)
+    here = F.aggregate("layers", F.lit(0), lambda a, x: a + F.when(x["bits"].bitwiseAND(bit) != 0, x["layer"]).otherwise(0))
+    rows = rows.select("at.passage_id", "term", here.alias("term_frequency"), "at.token_count", "passage_count", "idf", "residual")
+    score = bm25_term_score(F.col("idf"), F.col("term_frequency"), F.col("token_count"), avgdl, params)
     return rows.select(
-        "passage_id", "term", F.col("layer").alias("term_frequency"), "token_count", "passage_count", score.alias("bm25"),
-        (F.col("residual") * F.col("layer")).alias("distinctiveness"),
-    )
+        "passage_id", "term", "term_frequency", "token_count", "passage_count", score.alias("bm25"), (F.col("residual") * F.col("term_frequency")).alias("distinctiveness")
+    )
 
 
 def top_terms(scores: DataFrame, by: str = "bm25", decimals: int = 6) -> DataFrame:

@@ -36,14 +36,13 @@ def clean(rows, passages, terms):
             names[i].add(t)
     for i, p, f in {(r[0], r[1], r[2]) for r in rows if r[0] is not None and r[1] in known}:
         for t in names.get(i, ()):
-            yield t, p, f or 0
+            yield i, t, p, f or 0
 
 
 def test_frequencies_by_brute_force(spark, tables):
     rows, passages, terms, *dfs = tables
     cf, df = defaultdict(int), defaultdict(set)
-    # ids of one term on one passage with one frequency are one posting
-    for t, p, f in set(clean(rows, passages, terms)):
+    for _, t, p, f in clean(rows, passages, terms):
         cf[t] += f
         df[t].add(p)
     got = {r["term"]: (r["total_frequency"], r["passage_count"], r["mark"]) for r in vertical.term_frequencies(*dfs, 2, 5).collect()}
@@ -54,16 +53,18 @@ def test_frequencies_by_brute_force(spark, tables):
 
 def test_scores_by_brute_force(spark, tables):
     rows, passages, terms, *dfs = tables
-    found = set(clean(rows, passages, terms))
-    held = {p for _, p, _ in found}
+    found = defaultdict(int)
+    for _, t, p, f in clean(rows, passages, terms):
+        found[t, p] += f
+    held = {p for _, p in found}
     length = {p: max(r[3] for r in rows if r[1] == p) for p in held}
     n, avgdl = len(held), sum(length.values()) / len(held)
     cf, df = defaultdict(int), defaultdict(set)
-    for t, p, f in found:
+    for (t, p), f in found.items():
         cf[t] += f
         df[t].add(p)
     expect = {}
-    for t, p, f in found:
+    for (t, p), f in found.items():
         if length[p] >= 20:
             idf = math.log((n - len(df[t]) + 0.5) / (len(df[t]) + 0.5) + 1)
             ridf = -math.log2(len(df[t]) / n) + math.log2(1 - math.exp(-cf[t] / n))
@@ -87,6 +88,17 @@ def test_one_id_under_two_terms(spark):
     assert rows == {(p, t, 1) for p in range(4) for t in ("ferry", "quay")} | {(9, "ferry", 3), (9, "quay", 2), (9, "lamp", 3)}
 
 
+def test_ids_of_one_term_on_one_passage(spark):
+    """Equal and different frequencies add up, repeated rows count once, the passage counts once."""
+    postings = spark.createDataFrame([(1, 5, 2, 30), (2, 5, 2, 30), (2, 5, 2, 30), (1, 6, 2, 30), (2, 6, 3, 30), (1, 7, None, 30)], "term_id long, passage_id long, term_frequency int, token_count int")
+    passages = spark.createDataFrame([(p, "d") for p in range(10)], "passage_id long, document_name string")
+    terms = spark.createDataFrame([(1, "quay"), (2, "quay")], "term_id long, term string")
+    got = vertical.term_frequencies(postings, passages, terms).first()
+    assert (got["total_frequency"], got["passage_count"]) == (9, 3)
+    rows = sorted((r["passage_id"], r["term"], r["term_frequency"]) for r in vertical.term_scores(postings, passages, terms).collect())
+    assert rows == [(5, "quay", 4), (6, "quay", 5), (7, "quay", 0)]
+
+
 def test_empty_tables(spark, tables):
     *_, postings, passages, terms = tables
     assert {r["mark"] for r in vertical.term_frequencies(postings.limit(0), passages, terms).collect()} == {"rare"}
