@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from termloom.functions.scoring import BM25Params, bm25_idf, bm25_term_score, residual_idf
 from termloom.session import stored
 
-#: Each word is spread over so many reducers, by term, where bitmaps meet passages.
+#: Each word is spread over so many reducers, by term, where bitmaps meet passages, and each hot term, by word, where they
+#: meet terms.
 SALTS = 8
+#: A term with at least this share of the rows is hot; by counting, at most so many are.
+HOT_SHARE = 200
 
 
 def word_of(passage_id: Column) -> Column:
@@ -52,13 +55,29 @@ def term_keys(terms: DataFrame) -> DataFrame:
     return ranked.where("nth = 1").unionByName(namesakes).select("term", "term_key")
 
 
+def hot(counted: DataFrame, key: str) -> list[int]:
+    """The values of key that hold at least 1 / HOT_SHARE of all rows, n of each being counted: HOT_SHARE at most."""
+    total = counted.agg(F.sum("n").alias("n")).scalar()
+    return [r[key] for r in counted.where(F.col("n") * HOT_SHARE >= total).select(key).collect()]
+
+
+def spread(big: DataFrame, small: DataFrame, key: str, keys: list[int]) -> DataFrame:
+    """big joined to small by key; the rows of the given hot keys meet in SALTS tasks each, by their word."""
+    if not keys:
+        return big.join(small, key)
+    is_hot = F.col(key).isin(keys)
+    slices = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    sliced = big.withColumn("slice", F.when(is_hot, F.pmod("word", F.lit(SALTS))).otherwise(0).cast("int"))
+    return sliced.join(small.withColumn("slice", F.explode(slices)), [key, "slice"]).drop("slice")
+
+
 def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame, beside: DataFrame | None = None) -> DataFrame:
     """word, salt, term_key, layer, bits over the postings that have a passage and a term, repeated rows counted once; the
     ids of a term give rows of their own.
 
     Two rows are the same posting if id, passage and term_frequency agree. A null term_frequency counts the passage but
-    no occurrence. Columns of beside (word, ...), one row a word, are put next to each of its bitmaps. A term's words are
-    spread over SALTS reducers where they meet its names, so that a hot term is in no one task.
+    no occurrence. Columns of beside (word, ...), one row a word, are put next to each of its bitmaps. A
+    hot term's words are spread over SALTS reducers where they meet its names.
     """
     p = F.col("passage_id")
     layer = F.coalesce("term_frequency", F.lit(0)).cast("int").alias("layer")
@@ -67,14 +86,14 @@ def term_bitmaps(postings: DataFrame, passages: DataFrame, terms: DataFrame, bes
         .groupBy("term_id", layer, word_of(p).alias("word"))
         .agg(F.bit_or(bit_of(p)).alias("bits"))
     )
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    names = vocabulary(terms).select("term_id", "term_key", slices.alias("slice"))
-    keyed = packed.withColumn("slice", F.pmod("word", F.lit(SALTS)).cast("int")).join(names, ["term_id", "slice"]).drop("slice")
+    rows = postings.where("term_id IS NOT NULL").groupBy("term_id").agg(F.count(F.lit(1)).alias("n"))
+    keyed = spread(packed, vocabulary(terms).select("term_id", "term_key"), "term_id", hot(rows, "term_id"))
     salted = keyed.withColumn("salt", F.pmod("term_key", F.lit(SALTS)).cast("int"))
     words = passage_bitmap(passages).withColumnRenamed("bits", "there")
     if beside is not None:
         words = words.join(beside, "word", "left")
-    kept = salted.join(words.select("*", slices.alias("salt")).hint("shuffle_hash"), ["word", "salt"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    kept = salted.join(words.select("*", salts).hint("shuffle_hash"), ["word", "salt"])
     return kept.withColumn("bits", F.col("bits").bitwiseAND(F.col("there"))).where("bits <> 0").drop("there", "term_id")
 
 
@@ -136,14 +155,12 @@ def term_scores(
     n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"]).cast("double")
 
     tf = F.aggregate("layers", F.lit(0).cast("bigint"), lambda a, x: a + x["layer"] * F.bit_count(x["bits"]))
-    counts = words.groupBy("term_key").agg(F.sum(tf).alias("total_frequency"), F.sum(ones()).alias("passage_count"))
-    weights = counts.join(term_keys(terms), "term_key").select(
+    counts = stored(words.groupBy("term_key").agg(F.sum(tf).alias("total_frequency"), F.sum(ones()).alias("passage_count"), F.count_if(F.col("long").isNotNull()).alias("n")))
+    weights = counts.join(term_keys(terms), "term_key").where("n > 0").select(
         "term_key", "term", "passage_count", bm25_idf(n, F.col("passage_count")).alias("idf"), residual_idf(n, F.col("passage_count"), F.col("total_frequency")).alias("residual")
     )
-    # a hot term's words meet its weight in SALTS tasks
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    narrowed = words.where("long IS NOT NULL").select("term_key", "layers", "bits", "long", F.pmod("word", F.lit(SALTS)).cast("int").alias("slice"))
-    weighed = narrowed.join(weights.select("*", slices.alias("slice")), ["term_key", "slice"])
+    narrowed = words.where("long IS NOT NULL").select("word", "term_key", "layers", "bits", "long")
+    weighed = spread(narrowed, weights, "term_key", hot(counts, "term_key"))
     bit = bit_of(F.col("at.passage_id"))
     rows = weighed.withColumn("at", F.explode("long")).where(F.col("bits").bitwiseAND(bit) != 0)
     here = F.aggregate("layers", F.lit(0), lambda a, x: a + F.when(x["bits"].bitwiseAND(bit) != 0, x["layer"]).otherwise(0))
