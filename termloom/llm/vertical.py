@@ -135,40 +135,38 @@ def term_scores(
     frequencies of a term's ids in a passage add up; a passage's token_count is the largest of its rows. Rows of passages
     shorter than min_length, or of unknown length, are left out of the result, not of the statistics. Empty inputs give no rows.
 
-    The bitmaps are made once and stored in the shared folder; statistics and scores read them there.
+    Lengths and bitmaps are made once and stored in the shared folder; statistics and scores read them there.
     """
     p = F.col("passage_id")
-    lengths = postings.where(p.isNotNull()).groupBy("passage_id").agg(F.max("token_count").alias("token_count"))
-    lengths = lengths.withColumn("word", word_of(p)).withColumn("bit", bit_of(p))
-    # the long passages of a word: at most 64, so they fit one row
-    long = lengths.where(F.col("token_count") >= min_length).groupBy("word").agg(F.collect_list(F.struct("passage_id", "token_count")).alias("long"))
-    mask = F.aggregate(F.coalesce("long", F.array().cast(long.schema["long"].dataType)), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit_of(x["passage_id"])))
-    bitmaps = term_bitmaps(postings, passages, terms, long.select("word", "long").withColumn("mask", mask))
-    layers = F.collect_list(F.struct("layer", "bits")).alias("layers")
-    words = stored(
-        bitmaps.groupBy("word", "salt", "term_key").agg(layers, F.bit_or("bits").alias("bits"), F.first("long").alias("long"), F.first("mask").alias("mask"))
-        .select("word", "term_key", "layers", "bits", F.when(F.col("bits").bitwiseAND(F.col("mask")) != 0, F.col("long")).alias("long"))
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    # passages of one word and length, so that a length reaches the postings without a row per posting
+    longest = postings.where(p.isNotNull()).groupBy("passage_id").agg(F.max("token_count").alias("token_count"))
+    lengths = stored(longest.groupBy(word_of(p).alias("word"), "token_count").agg(F.bit_or(bit_of(p)).alias("mask")))
+    long = lengths.where(F.col("token_count") >= min_length)
+    bitmaps = term_bitmaps(postings, passages, terms, long.groupBy("word").agg(F.bit_or("mask").alias("long")))
+    words = stored(bitmaps.withColumn("long", F.coalesce(F.col("bits").bitwiseAND(F.col("long")), F.lit(0))))
+
     held = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    measured = lengths.join(held, "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
-    stats = measured.agg(F.count(F.lit(1)).alias("n"), F.avg("token_count").alias("avgdl")).first()
-    n, avgdl = F.lit(stats["n"]), F.lit(stats["avgdl"]).cast("double")
+    there = F.bit_count(F.col("bits").bitwiseAND(F.col("mask"))).cast("bigint")
+    sizes = lengths.join(held, "word").agg(F.sum(there).alias("n"), F.sum(F.when(F.col("token_count").isNotNull(), there)).alias("measured"), F.sum(there * F.col("token_count")).alias("tokens")).first()
+    n, avgdl = F.lit(sizes["n"] or 0), F.lit(sizes["tokens"] / sizes["measured"] if sizes["measured"] else None).cast("double")
 
-    tf = F.aggregate("layers", F.lit(0).cast("bigint"), lambda a, x: a + x["layer"] * F.bit_count(x["bits"]))
-    counts = stored(words.groupBy("term_key").agg(F.sum(tf).alias("total_frequency"), F.sum(ones()).alias("passage_count"), F.count_if(F.col("long").isNotNull()).alias("n")))
-    weights = counts.join(term_keys(terms), "term_key").where("n > 0").select(
+    known = words.groupBy("word", "term_key").agg(F.sum(F.col("layer") * ones()).alias("tf"), F.bit_or("bits").alias("bits"), F.bit_or("long").alias("long"))
+    counts = stored(known.groupBy("term_key").agg(F.sum("tf").alias("total_frequency"), F.sum(ones()).alias("passage_count"), F.sum(F.bit_count("long")).alias("n")))
+    weights = counts.where("n > 0").join(term_keys(terms), "term_key").select(
         "term_key", "term", "passage_count", bm25_idf(n, F.col("passage_count")).alias("idf"), residual_idf(n, F.col("passage_count"), F.col("total_frequency")).alias("residual")
     )
-    narrowed = words.where("long IS NOT NULL").select("word", "term_key", "layers", "bits", "long")
-    weighed = spread(narrowed, weights, "term_key", hot(counts, "term_key"))
-    bit = bit_of(F.col("at.passage_id"))
-    rows = weighed.withColumn("at", F.explode("long")).where(F.col("bits").bitwiseAND(bit) != 0)
-    here = F.aggregate("layers", F.lit(0), lambda a, x: a + F.when(x["bits"].bitwiseAND(bit) != 0, x["layer"]).otherwise(0))
-    rows = rows.select("at.passage_id", "term", here.alias("term_frequency"), "at.token_count", "passage_count", "idf", "residual")
+    narrowed = words.where("long <> 0").join(long.select("*", salts).hint("shuffle_hash"), ["word", "salt"]).withColumn("bits", F.col("long").bitwiseAND(F.col("mask")))
+    members = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    placed = narrowed.where("bits <> 0").select("word", "salt", "term_key", "token_count", "layer", F.explode(members).alias("i"))
+    # word and salt stay keys, as the rows are spread by them already
+    rows = placed.groupBy("word", "salt", "term_key", "token_count", "i").agg(F.sum("layer").cast("int").alias("term_frequency"))
+    weighed = spread(rows, weights, "term_key", hot(counts, "term_key"))
     score = bm25_term_score(F.col("idf"), F.col("term_frequency"), F.col("token_count"), avgdl, params)
-    return rows.select(
-        "passage_id", "term", "term_frequency", "token_count", "passage_count", score.alias("bm25"), (F.col("residual") * F.col("term_frequency")).alias("distinctiveness")
-    )
+    return weighed.select(
+        (F.shiftleft("word", 6) + F.col("i")).alias("passage_id"), "term", "term_frequency", "token_count", "passage_count", score.alias("bm25"),
+        (F.col("residual") * F.col("term_frequency")).alias("distinctiveness"),
+    )
 
 
 def top_terms(scores: DataFrame, by: str = "bm25", decimals: int = 6) -> DataFrame:
