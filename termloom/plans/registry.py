@@ -20,6 +20,7 @@ from termloom.session import small_side, table
 from termloom.sources import lexicon as lexicon_source
 
 POSTING_KEYS = ("term_id", "passage_id")
+SIZE_KEYS, SIZE_QUANTILES = ("source", "lang"), (0.1, 0.5, 0.95)
 WINDOW_TOKENS, PROMPT_TOKENS, SESSION_SECONDS = 20, 12_000, 86_400
 KEY = ("document_name", "chunk_id")
 ROW_RANGE = 1000
@@ -29,6 +30,11 @@ def p3_profiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.key_profiles(table(spark, d, "postings"), POSTING_KEYS, "term_frequency")
 
 
+def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Text sizes by source and language: values of a wide range, so that the histograms are refined."""
+    return skew.key_profiles(table(spark, d, "documents"), SIZE_KEYS, "n_chars", SIZE_QUANTILES)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return skew.hot_keys(table(spark, d, "postings"), POSTING_KEYS, "term_frequency").select("key_column", "key_value")
 
@@ -392,7 +398,7 @@ def log_zero_results(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_profiles, p5_found, p5_valid,
+        p3_found, p3_profiles, p3_sizes, p5_found, p5_valid,
         tokenize_docs, tokenize_counts, split_words, stopword_filtered_terms, chunk_docs, chunk_counts,
         passage_token_counts, postings, vocabulary, corpus_stats, index_integrity_checks, term_document_frequency,
         lemma_map, lemmatized_terms, wordnet_parse, wordnet_candidates,
@@ -411,12 +417,12 @@ QUERIES |= {f"logged_{f.__name__}": partial(f, asked=logged_queries) for f in SE
 # SQL
 
 
-def _profile(key: str) -> str:
+def _profile(key: str, value: str = "term_frequency", source: str = "postings", quantiles: tuple[float, ...] = (0.5,)) -> str:
+    ranks = ", ".join(f"CAST(QUANTILE_DISC({value}, {q}) AS BIGINT) AS p{round(q * 100)}" for q in quantiles)
     return f"""
-SELECT '{key}' AS key_column, {key} AS key_value, COUNT(*) AS row_count, CAST(SUM(term_frequency) AS BIGINT) AS value_sum,
-  CAST(MIN(term_frequency) AS BIGINT) AS value_min, CAST(MAX(term_frequency) AS BIGINT) AS value_max,
-  CAST(QUANTILE_DISC(term_frequency, 0.5) AS BIGINT) AS p50
-FROM postings WHERE {key} IS NOT NULL GROUP BY {key}"""
+SELECT '{key}' AS key_column, {key} AS key_value, COUNT(*) AS row_count, CAST(SUM({value}) AS BIGINT) AS value_sum,
+  CAST(MIN({value}) AS BIGINT) AS value_min, CAST(MAX({value}) AS BIGINT) AS value_max, {ranks}
+FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}"""
 
 
 def quoted(s: str) -> str:
@@ -510,6 +516,7 @@ SELECT * FROM (VALUES
   ('sell', 'carry', '', 'ferry transport'), ('measure', 'carry', '', 'ferry transport'), ('old', '', '', ''), ('deep', 'old', '', ''), ('slowly', '', '', '')
 ) v(word, synonyms, hypernyms, hyponyms)""",
     "p3_profiles": PROFILES,
+    "p3_sizes": " UNION ALL ".join(_profile(k, "n_chars", "documents", SIZE_QUANTILES) for k in SIZE_KEYS),
     "p3_found": f"SELECT key_column, key_value FROM ({PROFILES}) WHERE row_count * 200 >= (SELECT COUNT(*) FROM postings)",
     "tokenize_docs": f"SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)",
     "tokenize_counts": COUNTS,
