@@ -1,7 +1,7 @@
 """Delimited records split into valid rows and failures with a reason.
 
 A record is exploded into cells (row, column, value); a fixed rule table is joined by column; each rule is evaluated on
-its cell, the failures of a row fold to the first reason, and valid rows are those that no failure names.
+its cell, the errors of a row are aggregated, the first of them gives the reason, and valid rows are those that no failure names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ RULES: tuple[tuple[int, str, int, str], ...] = (
     (3, "invalid_value", 2, "not_missing"),
     (3, "invalid_value", 2, "characters"),
 )
+#: Stands for the shape of a record whose quotes are wrong.
+BROKEN = "broken"
 BAD_CHARACTER = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFD}]"
 ROW_NAME = "\\A(?s:.*)#row([1-9][0-9]{0,9})\\z"
 
@@ -45,30 +47,45 @@ def _violated(rule: Column, cell: Column) -> Column:
     name = F.regexp_replace(value, "#row[0-9]++\\z", "")
     blank = ~name.rlike("[^\\p{IsWhite_Space}\\p{Cntrl}]")
     return (
-        F.when(rule == "quotes", F.lit(True))
-        .when(rule == "two_cells", F.lit(True))
+        F.when(rule == "quotes", cell == BROKEN)
+        .when(rule == "two_cells", (cell != BROKEN) & (cell != "2"))
         .when(rule == "row_name", (number == "") | (number.cast("bigint") > 2147483647) | blank)
         .when(rule == "not_missing", cell == "")
         .when(rule == "characters", value.rlike(BAD_CHARACTER))
     )
 
 
+def _record_key(df: DataFrame, row_id: str, record: str) -> Column:
+    """Tells apart the records that have no id; null for the others."""
+    return F.when(F.col(row_id).isNull(), F.md5(F.coalesce(F.concat(F.lit("."), record), F.lit(""))))
+
+
 def _cells(df: DataFrame, row_id: str, record: str) -> DataFrame:
-    """row_id, column, cell: column 0 stands for a failed record as such and is null-celled, others count from 1."""
+    """row_id, record_key, column, cell: column 0 is the record's shape (the number of its fields, or BROKEN if its quotes
+    are wrong), the fields of a record of two count from 1."""
     text = F.col(record)
-    well = F.coalesce(text.rlike(RECORD), F.lit(False))
-    fields = _fields(text)
-    parsed = df.select(
-        F.col(row_id).alias("row_id"),
-        F.when(text.isNull(), "two_cells").when(~well, "quotes").alias("broken"),
-        F.when(well, fields).alias("fields"),
-    )
-    broken = F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.size("fields") != 2, "two_cells")
-    flagged = parsed.withColumn("broken", broken)
-    record_cell = F.struct(F.lit(0).alias("column"), F.col("broken").alias("cell"))
+    well = F.coalesce(text.rlike(RECORD), F.lit(True))
+    parsed = df.select(F.col(row_id).alias("row_id"), _record_key(df, row_id, record).alias("record_key"), well.alias("well"), F.when(well, _fields(text)).alias("fields"))
+    count = F.when(F.col("fields").isNull(), 0).otherwise(F.size("fields"))
+    shape = F.struct(F.lit(0).alias("column"), F.when(F.col("well"), count.cast("string")).otherwise(BROKEN).alias("cell"))
     field_cells = F.transform("fields", lambda c, i: F.struct((i + 1).alias("column"), c.alias("cell")))
-    cells = F.when(F.col("broken").isNotNull(), F.array(record_cell)).otherwise(field_cells)
-    return flagged.select("row_id", F.inline(cells))
+    cells = F.when(F.col("well") & (count == 2), F.concat(F.array(shape), field_cells)).otherwise(F.array(shape))
+    return parsed.select("row_id", "record_key", F.inline(cells))
+
+
+def _errors(df: DataFrame, row_id: str, record: str) -> DataFrame:
+    """row_id, record_key, column, rule, rank, reason: each rule that a cell breaks."""
+    rules = df.sparkSession.createDataFrame(list(RULES), "rank int, reason string, column int, rule string")
+    # the rule table is the constant above, so its size is known
+    return _cells(df, row_id, record).join(F.broadcast(rules), "column").where(_violated(F.col("rule"), F.col("cell")))
+
+
+def errors(df: DataFrame, row_id: str = "row_num", record: str = "raw_line") -> DataFrame:
+    """row_id, reason, errors: as failures, with all rules that the row breaks, as 'column rule' joined by |, in order."""
+    each = F.array_sort(F.collect_set(F.struct("column", "rule")))
+    found = _errors(df, row_id, record).groupBy("row_id").agg(F.min(F.struct("rank", "reason")).alias("first"), each.alias("each"))
+    joined = F.array_join(F.transform("each", lambda e: F.concat_ws(" ", e["column"].cast("string"), e["rule"])), "|")
+    return found.select(F.col("row_id").alias(row_id), F.col("first.reason").alias("reason"), joined.alias("errors"))
 
 
 def failures(df: DataFrame, row_id: str = "row_num", record: str = "raw_line") -> DataFrame:
@@ -80,20 +97,18 @@ def failures(df: DataFrame, row_id: str = "row_num", record: str = "raw_line") -
     empty and unquoted, or either holds U+FFFD or a control character other than tab, CR and LF. Repeated rows are
     judged alike and give one failure per row_id. An empty table gives none; other columns do not matter.
     """
-    spark = df.sparkSession
-    rules = spark.createDataFrame(list(RULES), "rank int, reason string, column int, rule string")
-    cells = _cells(df, row_id, record)
-    # the rule table is the constant above, so its size is known
-    judged = cells.join(F.broadcast(rules), "column").where(
-        F.when(F.col("column") == 0, F.col("rule") == F.col("cell")).otherwise(_violated(F.col("rule"), F.col("cell")))
-    )
-    first = judged.groupBy("row_id").agg(F.min(F.struct("rank", "reason")).alias("first"))
+    first = _errors(df, row_id, record).groupBy("row_id").agg(F.min(F.struct("rank", "reason")).alias("first"))
     return first.select(F.col("row_id").alias(row_id), F.col("first.reason").alias("reason"))
 
 
 def valid_rows(df: DataFrame, row_id: str = "row_num", record: str = "raw_line") -> DataFrame:
-    """row_id, document_name, text of the records without a failure: an anti-join against failures()."""
-    records = df.select(row_id, record)
-    kept = records.join(failures(df, row_id, record), row_id, "left_anti").withColumn("fields", _fields(F.col(record)))
+    """row_id, document_name, text of the records without a failure: an anti-join against their errors.
+
+    Records without an id are told apart by their text, so that a bad one does not pass and a good one is not lost.
+    """
+    records = df.select(row_id, record).withColumn("record_key", _record_key(df, row_id, record))
+    bad = _errors(df, row_id, record).select(F.col("row_id").alias("bad_id"), F.col("record_key").alias("bad_key")).distinct()
+    kept = records.join(bad, F.col(row_id).eqNullSafe(F.col("bad_id")) & F.col("record_key").eqNullSafe(F.col("bad_key")), "left_anti")
+    fields = kept.withColumn("fields", _fields(F.col(record)))
     name, text = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
-    return kept.select(row_id, _value(name).alias("document_name"), _value(text).alias("text"))
+    return fields.select(row_id, _value(name).alias("document_name"), _value(text).alias("text"))

@@ -43,6 +43,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.failures(table(spark, d, "bulk_rows"))
 
 
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.errors(table(spark, d, "bulk_rows"))
+
+
 def p5_valid(spark: SparkSession, d: str) -> DataFrame:
     return badrows.valid_rows(table(spark, d, "bulk_rows"))
 
@@ -398,7 +402,7 @@ def log_zero_results(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_profiles, p3_sizes, p5_found, p5_valid,
+        p3_found, p3_profiles, p3_sizes, p5_found, p5_errors, p5_valid,
         tokenize_docs, tokenize_counts, split_words, stopword_filtered_terms, chunk_docs, chunk_counts,
         passage_token_counts, postings, vocabulary, corpus_stats, index_integrity_checks, term_document_frequency,
         lemma_map, lemmatized_terms, wordnet_parse, wordnet_candidates,
@@ -500,13 +504,17 @@ broken AS (SELECT row_num, regexp_full_match(raw_line, '{FIELD}(\t{FIELD})*', 's
 cells AS (SELECT row_num, well, len(f) AS n, f[2] AS raw_text,
   CASE WHEN f[1][1] = '"' THEN replace(f[1][2:-2], '""', '"') ELSE f[1] END AS document_name,
   CASE WHEN f[2][1] = '"' THEN replace(f[2][2:-2], '""', '"') ELSE f[2] END AS text FROM broken),
-named AS (SELECT *, regexp_extract(document_name, '^(.*)#row([1-9][0-9]*)$', ['file', 'number'], 's') AS m FROM cells),
-judged AS (SELECT row_num, document_name, text, CASE WHEN NOT well THEN 'quoting' WHEN n IS NULL OR n <> 2 THEN 'column_count'
-    WHEN trim(m.file, ' ' || chr(9) || chr(10) || chr(13)) = '' OR m.number = '' OR CAST(m.number AS HUGEINT) > 2147483647 OR raw_text = ''
-      OR regexp_matches(document_name || text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFD}}]') THEN 'invalid_value' END AS reason FROM named)"""
+named AS (SELECT *, regexp_matches(document_name, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFD}}]') AS bad_name, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFD}}]') AS bad_text,
+    regexp_extract(document_name, '^(.*)#row([1-9][0-9]*)$', ['file', 'number'], 's') AS m FROM cells),
+listed AS (SELECT *, trim(m.file, ' ' || chr(9) || chr(10) || chr(13)) = '' OR m.number = '' OR COALESCE(TRY_CAST(m.number AS HUGEINT) > 2147483647, true) AS bad_row FROM named),
+ judged AS (SELECT row_num, document_name, text, CASE WHEN NOT well THEN 'quoting' WHEN n IS NULL OR n <> 2 THEN 'column_count'
+    WHEN bad_row OR bad_name OR bad_text OR raw_text = '' THEN 'invalid_value' END AS reason,
+    CASE WHEN NOT well THEN '0 quotes' WHEN n IS NULL OR n <> 2 THEN '0 two_cells' ELSE concat_ws('|', CASE WHEN bad_name THEN '1 characters' END,
+      CASE WHEN bad_row THEN '1 row_name' END, CASE WHEN bad_text THEN '2 characters' END, CASE WHEN raw_text = '' THEN '2 not_missing' END) END AS errors FROM listed)"""
 
 ORACLES = {
     "p5_found": f"WITH {PARSED} SELECT row_num, reason FROM judged WHERE reason IS NOT NULL",
+    "p5_errors": f"WITH {PARSED} SELECT row_num, reason, errors FROM judged WHERE reason IS NOT NULL",
     "p5_valid": f"WITH {PARSED} SELECT row_num, document_name, text FROM judged WHERE reason IS NULL",
     "wordnet_candidates": """
 SELECT * FROM (VALUES

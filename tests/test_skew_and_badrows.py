@@ -103,3 +103,15 @@ def test_bad_rows_empty_and_repeated(spark):
     assert [tuple(r) for r in badrows.failures(df).collect()] == [(1, "column_count")]
     assert badrows.valid_rows(df).count() == 2
     assert badrows.failures(df.limit(0)).count() == 0 and badrows.valid_rows(df.limit(0)).count() == 0
+
+
+def test_records_without_id(spark):
+    df = spark.createDataFrame([(None, "x"), (None, "a#row1\tt"), (None, None), (3, "b#row1\t\x01")], "row_num long, raw_line string")
+    assert [tuple(r) for r in badrows.valid_rows(df).collect()] == [(None, "a#row1", "t")]
+    assert {tuple(r) for r in badrows.failures(df).collect()} == {(None, "column_count"), (3, "invalid_value")}
+
+
+def test_all_errors_of_a_row(spark):
+    df = spark.createDataFrame([(1, "\x01#row0\t"), (2, '"'), (3, "a\tb\tc"), (4, "a#row1\tx")], "row_num long, raw_line string")
+    got = {r["row_num"]: (r["reason"], r["errors"]) for r in badrows.errors(df).collect()}
+    assert got == {1: ("invalid_value", "1 characters|1 row_name|2 not_missing"), 2: ("quoting", "0 quotes"), 3: ("column_count", "0 two_cells")}
