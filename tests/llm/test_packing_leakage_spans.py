@@ -93,13 +93,75 @@ def test_leaks_against_brute_force(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     expect = {(i, d): longest_run(words(t), words(x)) for i, t in items if i is not None for d, x, _ in docs}
     expect = {k: v for k, v in expect.items() if v >= 12}
-    for block in (1000, 7):
+    for block in (4_000_000, 900):
         monkeypatch.setattr(leakage, "BLOCK", block)
         got = {(r["item_id"], r["doc_id"]): r["longest_run"] for r in leakage.leaked_items(a, b).where("longest_run >= 12").collect()}
         assert got == expect
     assert leakage.leaked_items(a.limit(0), b).count() == 0 and leakage.leaked_items(a, b.limit(0)).count() == 0
 
 
+def plain_alignment(a, b):
+    """(score, matches, columns) by the whole matrix and a way back through it."""
+    h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if x == y else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    i, j = np.unravel_index(int(h.argmax()), h.shape)
+    score, matches, columns = int(h[i, j]), 0, 0
+    while h[i, j] > 0:
+        columns += 1
+        if h[i, j] == h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+            matches += a[i - 1] == b[j - 1]
+            i, j = i - 1, j - 1
+        elif h[i, j] == h[i - 1, j] - 1:
+            i -= 1
+        else:
+            j -= 1
+    return score, matches, columns
+
+
+def test_alignment_against_the_whole_matrix():
+    random.seed(12)
+    for _ in range(150):
+        a, b = ([random.randint(0, 5) for _ in range(random.randint(1, 30))] for _ in range(2))
+        got = leakage.align(np.array(a), np.array(b))
+        assert got[:3] == plain_alignment(a, b) and got[3] == longest_run(a, b)
+
+
+EDITS = {
+    "every fifth word": lambda i, w: ["other"] if i % 5 == 4 else [w],
+    "every sixth left out": lambda i, w: [] if i % 6 == 5 else [w],
+    "a word put in after every fifth": lambda i, w: [w, "extra"] if i % 5 == 4 else [w],
+    "one in seven": lambda i, w: ["other"] if random.random() < 1 / 7 else [w],
+    "one in twelve of three kinds": lambda i, w: random.choice([["other"], [], [w, "extra"]]) if random.random() < 1 / 12 else [w],
+    "one in four": lambda i, w: ["other"] if random.random() < 1 / 4 else [w],
+}
+
+
+def test_recall_of_edited_copies(spark):
+    """Against the alignment of every item with every document: nothing of identity 0.8 is lost, also beside unedited copies."""
+    random.seed(13)
+    common = "the ferry at the quay was seen by".split()
+    items = [[random.choice(common) if random.random() < 0.3 else f"w{random.randint(0, 900)}" for _ in range(random.choice([16, 29, 36, 60]))] for _ in range(24)]
+    docs = []
+    for w in items:
+        for edit in EDITS.values():
+            around = [random.choice(common + [f"v{random.randint(0, 900)}"]) for _ in range(40)]
+            docs.append(around[:20] + [x for i, v in enumerate(w) for x in edit(i, v)] + around[20:])
+    docs += items
+    expect = set()
+    for k, a in enumerate(items):
+        names = {w: i for i, w in enumerate(dict.fromkeys(a))}
+        for d, b in enumerate(docs):
+            _, matches, columns, run = leakage.align(leakage._ids(a, names), leakage._ids(b, names))
+            if run >= 12 or (matches >= 12 and matches / columns >= 0.8):
+                expect.add((k, d))
+    a = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["item_id"], r["doc_id"]) for r in leakage.leaked_items(a, b).collect()}
+    assert len(expect) > 100 and got == expect
+
+
 def test_edited_copy_is_found(spark):
     item = [f"k{i}" for i in range(40)]
     edited = [w if i % 9 else "other" for i, w in enumerate(item)]
