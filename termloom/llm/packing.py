@@ -21,7 +21,8 @@ from termloom.session import cut_lineage
 
 #: Items of one shard; a shard's packing takes items x open containers steps.
 SHARD = 20_000
-ROUNDS = 3
+#: Packing goes on as long as a round leaves no more than this share of its items open.
+PROGRESS = 0.5
 _encoders: dict[str, object] = {}
 
 
@@ -93,8 +94,8 @@ def _packer(turn: int, capacity: Capacity, rule: str, full: float):
     def one(shard: pa.Table) -> pa.Table:
         length = shard["token_end"].to_numpy() - shard["token_start"].to_numpy()
         placed = best_fit(length, capacity, rule)
-        filled = np.bincount(placed, weights=length, minlength=1)
-        whole = filled[placed] >= full * capacity.tokens
+        used = [(np.bincount(placed, w, 1), most) for w, most in ((length, capacity.tokens), (None, capacity.documents), (length.astype(float) ** 2, capacity.attention))]
+        whole = np.any([u >= full * most for u, most in used], axis=0)[placed]
         number = (turn << 56) + shard["shard"].to_numpy() * (1 << 24) + placed
         return shard.append_column("container_id", pa.array(number, pa.int64())).append_column("whole", pa.array(whole))
 
@@ -108,8 +109,9 @@ def pack(sizes: DataFrame, capacity: Capacity = Capacity(), rule: str = "residua
     capacity, save that one item alone is always admitted. Rows without tokens (null included) are placed like any
     other, with token_end = token_start. Repeated rows are placed one by one. An empty table gives no rows.
 
-    Containers filled to less than full are opened again and their items packed anew across shards, as long as that
-    leaves more than one shard's worth and rounds are left.
+    Items are packed in shards of about SHARD, each in a task of its own. Containers filled to less than full in all three
+    capacities are opened again and their items packed anew across shards, until one shard holds all that is left, or a round
+    leaves more than PROGRESS of its items open: then packing them once more would gain little.
     """
     if rule not in ("residual_norm", "dot_product"):
         raise ValueError(rule)
@@ -119,22 +121,48 @@ def pack(sizes: DataFrame, capacity: Capacity = Capacity(), rule: str = "residua
         "token_end", F.least("tokens", F.col("token_start") + capacity.tokens)
     )
     items = cut_lineage(pieces.select("doc_id", "piece", "token_start", "token_end"))
-    fixed = []
-    for turn in range(ROUNDS):
-        n = items.count()
+    fixed, n, turn = [], items.count(), 0
+    columns = ["container_id", "doc_id", "piece", "token_start", "token_end"]
+    schema = "doc_id bigint, piece int, token_start bigint, token_end bigint, shard bigint, container_id bigint, whole boolean"
+    while True:
         shards = max(1, -(-n // SHARD))
-        last = shards == 1 or turn == ROUNDS - 1
-        sharded = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-
-        schema = "doc_id bigint, piece int, token_start bigint, token_end bigint, shard bigint, container_id bigint, whole boolean"
+        # the number of partitions is given, so that small shards are not merged into one task
+        sharded = items.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).repartition(shards, "shard")
         packed = cut_lineage(sharded.groupBy("shard").applyInArrow(_packer(turn, capacity, rule, full), schema))
-        columns = ["container_id", "doc_id", "piece", "token_start", "token_end"]
-        if last:
+        left = packed.where("NOT whole").count()
+        if shards == 1 or left > PROGRESS * n:
             fixed.append(packed.select(columns))
             break
         fixed.append(packed.where("whole").select(columns))
-        items = cut_lineage(packed.where("NOT whole").select("doc_id", "piece", "token_start", "token_end"))
+        if not left:
+            break
+        items, n, turn = packed.where("NOT whole").select("doc_id", "piece", "token_start", "token_end"), left, turn + 1
     out = fixed[0]
     for part in fixed[1:]:
         out = out.unionByName(part)
     return out
+
+
+def violations(containers: DataFrame, sizes: DataFrame, capacity: Capacity = Capacity(), fill: float = 0.95) -> DataFrame:
+    """check_name, violations of a packing against its sizes (doc_id, tokens): what would make it wrong, and whether there are
+    more than 1 / fill of the least number of containers that all tokens and documents need (1 then)."""
+    length = F.col("token_end") - F.col("token_start")
+    per = containers.groupBy("container_id").agg(F.sum(length).alias("tokens"), F.count(F.lit(1)).alias("n"), F.sum(length.cast("double") * length).alias("attention"))
+    placed = containers.groupBy("doc_id").agg(F.sum(length).alias("placed"), F.count(F.lit(1)).alias("pieces"), F.min("token_start").alias("first"), F.max("token_end").alias("last"))
+    wanted = sizes.groupBy("doc_id").agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.count(F.lit(1)).alias("n"), F.max(F.coalesce("tokens", F.lit(0))).alias("most"))
+    both = wanted.join(placed, wanted["doc_id"].eqNullSafe(placed["doc_id"]), "full")
+    bad = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    of_docs = both.agg(
+        bad(placed["pieces"].isNull()).alias("document_missing"), bad(wanted["n"].isNull()).alias("document_unknown"), bad(~F.col("placed").eqNullSafe(F.col("tokens"))).alias("tokens_lost"),
+        bad((F.col("most") <= capacity.tokens) & (F.col("pieces") > F.col("n"))).alias("cut_without_need"),
+    )
+    of_containers = per.agg(
+        bad(F.col("tokens") > capacity.tokens).alias("over_tokens"), bad(F.col("n") > capacity.documents).alias("over_documents"),
+        bad((F.col("attention") > capacity.attention) & (F.col("n") > 1)).alias("over_attention"),
+        F.when(F.count(F.lit(1)) * fill > F.greatest(*[F.ceil(F.coalesce(F.sum(c), F.lit(0)) / most) for c, most in (("tokens", capacity.tokens), ("n", capacity.documents))]) + 1, 1).otherwise(0).cast("bigint").alias("room_left"),
+    )
+    parts = []
+    for row in (of_docs, of_containers):
+        each = F.array(*[F.struct(F.lit(c).alias("check_name"), F.col(c).alias("violations")) for c in row.columns])
+        parts.append(row.select(F.inline(each)))
+    return parts[0].unionByName(parts[1])

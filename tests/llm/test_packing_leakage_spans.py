@@ -50,6 +50,25 @@ def test_pack_places_everything(spark, monkeypatch):
     size = dict(rows)
     assert all((size[r["doc_id"]] or 0) > 100 for r in out if r["piece"] > 0)
     assert packing.pack(df.limit(0), SMALL).count() == 0
+    found = lambda c, z: {r["check_name"] for r in packing.violations(c, z, SMALL, 0.8).where("violations > 0").collect()}
+    made = spark.createDataFrame(out)
+    assert found(made, df) == set() and found(made.limit(0), df.limit(0)) == set()
+    assert found(made.where("doc_id <> 4"), df) >= {"document_missing"} and found(made, df.where("doc_id <> 4")) >= {"document_unknown"}
+    assert found(made.withColumn("container_id", F.lit(1)), df) >= {"over_tokens", "over_documents", "over_attention"}
+    assert found(made.withColumn("container_id", F.monotonically_increasing_id()), df) >= {"room_left"}
+    assert found(made.where("NOT (doc_id = 3 AND piece = 0)").unionByName(made.where("doc_id = 3 AND piece = 0").withColumn("token_end", F.col("token_end") + 1)), df) >= {"tokens_lost"}
+
+
+def test_shards_have_tasks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 100)
+    df = spark.range(2000).selectExpr("id AS doc_id", "id % 37 AS tokens")
+    out = packing.pack(df, packing.Capacity(100, 5, 4000.0))
+    assert {r["violations"] for r in packing.violations(out, df, packing.Capacity(100, 5, 4000.0), 0.6).collect()} == {0}
+    assert out.where("container_id < (1L << 56)").select(F.shiftright("container_id", 24)).distinct().count() > 10
+
+
+def test_pack_refuses_other_rules(spark):
+    df = spark.createDataFrame([(1, 2)], "doc_id long, tokens long")
     with pytest.raises(ValueError):
         packing.pack(df, SMALL, "first_fit")
 
