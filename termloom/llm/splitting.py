@@ -2,7 +2,7 @@
 
 One regular expression walks a text: its alternatives are ordered by the strength of the boundary they end at
 (paragraph, sentence, line, word), each takes as many units as the bound of its quantifier allows, and the last one
-cuts between any two units. The overlap is looked back from the piece before.
+cuts between any two units. The overlap is looked back from the bodies before a piece.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ SEP = "[^A-Za-z0-9]"
 UNIT = f"{SEP}*+{TOKEN}"
 #: A body takes a boundary only if it is at least 1/FILL full, else weaker boundaries come first.
 FILL = 2
-#: The quantifiers recurse once a token inside the regex engine; larger limits would need a larger thread stack.
-MAX_LIMIT = 2048
+#: The quantifiers recurse once a token inside the regex engine. A larger budget is made of several bodies of at most so
+#: many tokens, each cut at a natural boundary.
+MAX_BODY = 1024
 
 
 def token_bodies(budget: int) -> str:
@@ -61,25 +62,38 @@ def _tail(piece: Column, overlap: int, unit: str) -> Column:
     return F.array_join(F.slice(units, F.greatest(F.size(units) - overlap, F.lit(0)) + 1, F.lit(overlap)), "")
 
 
+def _units(text: Column, unit: str) -> Column:
+    return F.length(text) if unit == "character" else token_count(text)
+
+
 def pieces_of(text: Column, limit: int, overlap: int, unit: str = "token") -> Column:
-    """Array of piece texts: the text itself if it is within the limit, else bodies, each led by the tail of the piece before."""
+    """Array of piece texts: the text itself if it is within the limit, else bodies, each led by the tail of the text before it."""
     if not 0 <= overlap < limit or unit not in ("token", "character"):
         raise ValueError(f"limit {limit}, overlap {overlap}, unit {unit!r}: need 0 <= overlap < limit")
-    if unit == "token" and limit > MAX_LIMIT:
-        raise ValueError(f"limit {limit} is above {MAX_LIMIT}")
     budget = limit - overlap
-    pattern = token_bodies(budget) if unit == "token" else character_bodies(budget)
-    oversized = has_more_tokens_than(text, limit) if unit == "token" else F.length(text) > limit
+    joined = -(-budget // MAX_BODY) if unit == "token" else 1
+    pattern = token_bodies(budget // joined) if unit == "token" else character_bodies(budget)
+    few = unit == "token" and limit <= MAX_BODY
+    oversized = has_more_tokens_than(text, limit) if few else _units(text, unit) > limit
     bodies = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b: b != "")
-    none = F.struct(F.lit("").alias("tail"), F.array().cast("array<string>").alias("pieces"))
-
-    def led(done: Column, body: Column) -> Column:
-        piece = F.concat(done["tail"], body)
-        tail = _tail(piece, overlap, unit) if overlap else F.lit("")
-        return F.struct(tail.alias("tail"), F.array_append(done["pieces"], piece).alias("pieces"))
 
-    cut = F.aggregate(bodies, none, led)["pieces"]
-    return F.when(oversized, cut).when(F.length(text) > 0, F.array(text))
+    def before(parts: Column, i: Column, reach: int) -> Column:
+        """Up to reach bodies before body i, as one text."""
+        start = F.greatest(i - reach, F.lit(0))
+        return F.array_join(F.slice(parts, start + 1, i - start), "")
+
+    def led(parts: Column, i: Column) -> Column:
+        body = F.array_join(F.slice(parts, i + 1, F.lit(joined)), "")
+        if not overlap:
+            return body
+        # bodies are at least 1 / FILL full where boundaries are near; each holds one unit at least
+        near = before(parts, i, -(-overlap * FILL // max(1, budget // joined)) + 1)
+        tail = F.when(_units(near, unit) >= overlap, _tail(near, overlap, unit)).otherwise(_tail(before(parts, i, overlap), overlap, unit))
+        return F.concat(F.when(i == 0, F.lit("")).otherwise(tail), body)
+
+    # a lambda's argument stands for the array, so that the pattern runs once a text
+    listed = F.transform(F.array(bodies), lambda parts: F.transform(F.sequence(F.lit(0), F.size(parts) - 1, F.lit(joined)), lambda i: led(parts, i)))
+    return F.when(oversized, listed[0]).when(F.length(text) > 0, F.array(text))
 
 
 def split_oversized(
