@@ -88,6 +88,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_classes(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": pieces,
@@ -101,6 +105,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_found": p9_found,
+    "p9_classes": p9_classes,
     "p9_shared": p9_shared,
     "p9_deduplicated": p9_deduplicated,
 }
@@ -132,6 +137,12 @@ WITH {CLEAN},
       ROUND((-log2(df / n::DOUBLE) + log2(1 - exp(-cf / n::DOUBLE))) * c.term_frequency, 6) AS distinctiveness
     FROM posted c JOIN counted USING (term), stats WHERE c.token_count >= 20)
 """
+SPANS = """
+WITH w AS (SELECT doc_id, k, md5(substr(text, k, 400)) AS h
+    FROM documents, LATERAL (SELECT UNNEST(range(1, length(text) - 398)) AS k) WHERE length(text) >= 400),
+  m AS (SELECT h, MIN(doc_id) AS first_doc FROM w GROUP BY h HAVING COUNT(DISTINCT doc_id) > 1),
+  s AS (SELECT doc_id, k, h, first_doc FROM w JOIN m USING (h))
+"""
 TOO_LONG = f"len(regexp_extract_all(text, '{TOKEN_PLAIN.replace(chr(39), chr(39) * 2)}')) > {LIMIT}"
 
 ORACLES = {
@@ -155,10 +166,19 @@ WITH i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+
   ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS g FROM i, LATERAL (SELECT UNNEST(range(1, len(w) - 10)) AS k)),
   dg AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS g FROM d, LATERAL (SELECT UNNEST(range(1, len(w) - 10)) AS k))
 SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)""",
-    "p9_found": """
-WITH w AS (SELECT DISTINCT doc_id, md5(substr(text, k, 400)) AS h
-    FROM documents, LATERAL (SELECT UNNEST(range(1, length(text) - 398)) AS k) WHERE length(text) >= 400),
-  m AS (SELECT h FROM w GROUP BY h HAVING COUNT(*) > 1),
-  s AS (SELECT doc_id, h FROM w JOIN m USING (h))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b USING (h) WHERE a.doc_id < b.doc_id""",
+    "p9_found": f"""{SPANS}
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM (SELECT DISTINCT doc_id, h FROM s) a
+JOIN (SELECT DISTINCT doc_id, h FROM s) b USING (h) WHERE a.doc_id < b.doc_id""",
+    "p9_classes": f"""{SPANS},
+  c AS (SELECT doc_id, CASE WHEN length(text) >= 400 THEN MIN(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS class_id FROM documents),
+  r AS (SELECT DISTINCT h, class_id FROM s JOIN c USING (doc_id)),
+  l AS (SELECT a.class_id, COUNT(DISTINCT b.class_id) AS links FROM r a JOIN r b USING (h) WHERE a.class_id <> b.class_id GROUP BY a.class_id)
+SELECT doc_id, class_id, COUNT(*) OVER (PARTITION BY class_id) AS copies, COALESCE(links, 0) AS links FROM c LEFT JOIN l USING (class_id)""",
+    "p9_shared": f"""{SPANS},
+  g AS (SELECT doc_id, LEAST(400, LEAD(k, 1, k + 400) OVER (PARTITION BY doc_id ORDER BY k) - k) AS n FROM s),
+  e AS (SELECT doc_id, LEAST(400, LEAD(k, 1, k + 400) OVER (PARTITION BY doc_id ORDER BY k) - k) AS n FROM s WHERE first_doc < doc_id),
+  gs AS (SELECT doc_id, SUM(n) AS shared FROM g GROUP BY doc_id), es AS (SELECT doc_id, SUM(n) AS repeated FROM e GROUP BY doc_id)
+SELECT doc_id, COALESCE(length(text), 0) AS n_chars, CAST(COALESCE(shared, 0) AS BIGINT) AS shared_chars, CAST(COALESCE(repeated, 0) AS BIGINT) AS repeated_chars,
+  COALESCE(length(text) >= 400 AND COUNT(*) OVER (PARTITION BY text) > 1, false) AS is_copy
+FROM documents LEFT JOIN gs USING (doc_id) LEFT JOIN es USING (doc_id)""",
 }

@@ -15,11 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import cut_lineage, small_side
+from termloom.session import cut_lineage, small_side, stored
 
 #: Characters hashed at a cut, and the widest stretch without a cut.
 GRAM, GAP = 8, 64
@@ -110,22 +109,37 @@ def _frames(rows: Iterator[tuple], columns: tuple[str, ...], size: int) -> Itera
         yield pd.DataFrame(part, columns=list(columns))
 
 
-def _windows(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int) -> DataFrame:
-    """doc_id, start, before, span: every window of min_chars characters that lies by a repeated run.
-
-    span names the window's characters (128 bits); before is the character ahead of it, -1 at the start of a text.
-    """
+def _occurrences(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int) -> DataFrame:
+    """doc_id, run, before_run, start, ahead, around: every place of a repeated run, with the characters from up to a cut's
+    reach ahead of it to min_chars on. before_run names the run of the cut before and how far off it is, 0 where there is none.
+    Stored, as it is read more than once."""
     least, reach = run_length(min_chars), GAP + BEFORE
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for d, t in zip(batch["doc_id"], batch["text"]):
-                    for p, h in zip(*(x.tolist() for x in runs(t, least))):
+                    starts, hashes = runs(t, least)
+                    earlier = np.zeros(len(starts), dtype=np.uint64)
+                    earlier[1:] = _mix(hashes.view(np.uint64)[:-1] + np.diff(starts).astype(np.uint64)) | np.uint64(1)
+                    for p, h, e in zip(starts.tolist(), hashes.tolist(), earlier.view(np.int64).tolist()):
                         lo = max(0, p - reach)
-                        yield d, h, p, p - lo, t[lo : p + min_chars]
+                        yield d, h, e, p, p - lo, t[lo : p + min_chars]
+
+        yield from _frames(rows(), ("doc_id", "run", "before_run", "start", "ahead", "around"), 10_000)
 
-        yield from _frames(rows(), ("doc_id", "run", "start", "ahead", "around"), 10_000)
+    reps, repeated = live
+    again = texts.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    rows = again.mapInPandas(near, "doc_id bigint, run bigint, before_run bigint, start bigint, ahead int, around string")
+    return stored(rows.join(repeated, "run", "left_semi"))
+
+
+def _windows(places: DataFrame, min_chars: int) -> DataFrame:
+    """doc_id, start, before, span: every window of min_chars characters that begins within a cut's reach of a place.
+
+    span names the window's characters (128 bits); before is the character ahead of it, -1 at the start of a text, -2 if
+    it is not known here.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple]:
@@ -137,12 +151,7 @@ def _windows(texts: DataFrame, live: tuple[DataFrame, DataFrame], min_chars: int
 
         yield from _frames(rows(), ("doc_id", "start", "before", "span"), 100_000)
 
-    reps, repeated = live
-    again = texts.join(reps.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    rows = again.mapInPandas(near, "doc_id bigint, run bigint, start bigint, ahead int, around string")
-    return rows.join(repeated, "run", "left_semi").select("doc_id", "start", "ahead", "around").mapInPandas(
-        cut, "doc_id bigint, start bigint, before int, span binary"
-    )
+    return places.select("doc_id", "start", "ahead", "around").mapInPandas(cut, "doc_id bigint, start bigint, before int, span binary")
 
 
 def _live(texts: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -156,11 +165,9 @@ def _live(texts: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
             counts = [len(f) for f in found]
             yield pd.DataFrame({"run": np.concatenate(found) if found else np.empty(0, np.int64), "text_hash": np.repeat(batch["text_hash"].to_numpy(), counts)})
 
-    # kept while it is read twice: by the count of a run's texts and on the way back to them; lost parts are made again
-    rows = texts.select("text_hash", "text").mapInPandas(hashed, "run bigint, text_hash bigint").repartition("run").persist(StorageLevel.DISK_ONLY)
+    rows = stored(texts.select("text_hash", "text").mapInPandas(hashed, "run bigint, text_hash bigint"))
     shared = rows.groupBy("run").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("run")
     held = cut_lineage(rows.join(shared, "run", "left_semi").distinct())
-    rows.unpersist()
     first = texts.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
     reps = cut_lineage(first.join(held.select("text_hash").distinct(), "text_hash", "left_semi").select("doc_id", "same"))
     return small_side(reps, SMALL), held.select("run").distinct()
@@ -172,36 +179,52 @@ def shared_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Exact copies are one text here, under their smallest doc_id. first_doc is the smallest doc_id with the window.
     """
     texts = _texts(docs, doc_id, text, min_chars)
-    windows = _windows(texts, _live(texts, min_chars), min_chars).distinct()
+    windows = _windows(_occurrences(texts, _live(texts, min_chars), min_chars), min_chars).distinct()
     held = windows.groupBy("span").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     return windows.join(held.where("first_doc <> last_doc").select("span", "first_doc"), "span")
 
 
-def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 400) -> DataFrame:
-    """doc_id_a, doc_id_b (a < b), distinct: documents whose texts both hold one span of at least min_chars characters.
+def representative_pairs(texts: DataFrame, min_chars: int) -> DataFrame:
+    """rep_a, rep_b (rep_a < rep_b), distinct: different texts, each under the smallest doc_id of its exact copies, that
+    share a span.
 
-    Code points are compared as they are. Null ids, null texts and texts below min_chars share nothing; repeated rows
-    count once; a document does not pair with itself. An empty table gives no rows. Spans need no natural boundary.
-
-    Spans that continue to the left in all their texts are dropped before pairs are made, since the span one character
-    earlier has the same texts: what is left starts where texts part. Exact copies are compared once and put back at
-    the end.
+    A run that has the same run at the same distance before it wherever it occurs begins no shared span: what holds it
+    holds the run before too. Only windows by the other runs are compared. Of those, spans that continue to the left in all
+    their texts are dropped before pairs are made, since the span one character earlier has the same texts: what is left
+    starts where texts part.
     """
-    texts = _texts(docs, doc_id, text, min_chars)
-    windows = _windows(texts, _live(texts, min_chars), min_chars)
+    places = _occurrences(texts, _live(texts, min_chars), min_chars)
+    earlier = places.groupBy("run").agg(F.min("before_run").alias("a"), F.max("before_run").alias("b"))
+    first = places.join(earlier.where("a <> b OR a = 0").select("run"), "run", "left_semi")
     # a window's context may begin at the cut's reach; the same window seen from another cut knows its character before
-    seen = windows.groupBy("span", "doc_id", "start").agg(F.max("before").alias("before"))
+    seen = stored(_windows(first, min_chars).groupBy("span", "doc_id", "start").agg(F.max("before").alias("before")))
     held = seen.groupBy("span").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("before").alias("least"), F.max("before").alias("most")
     )
     parting = held.where("a <> b AND (least < 0 OR least <> most)").select("span")
     holders = seen.join(parting, "span", "left_semi").select("span", "doc_id").distinct()
     other = holders.select("span", F.col("doc_id").alias("rep_b"))
-    reps = holders.withColumnRenamed("doc_id", "rep_a").join(other, "span").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    return holders.withColumnRenamed("doc_id", "rep_a").join(other, "span").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
 
+
+def _members(texts: DataFrame) -> DataFrame:
+    """doc_id, rep, n: each document, the smallest doc_id of its exact copies and how many these are."""
     members = texts.select("same", "doc_id").distinct()
-    copies = members.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    several = members.join(copies.where("n > 1").select("same", "rep"), "same").select("rep", "doc_id")
+    return members.join(members.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "same").select("doc_id", "rep", "n")
+
+
+def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 400) -> DataFrame:
+    """doc_id_a, doc_id_b (a < b), distinct: documents whose texts both hold one span of at least min_chars characters.
+
+    Code points are compared as they are. Null ids, null texts and texts below min_chars share nothing; repeated rows
+    count once; a document does not pair with itself. An empty table gives no rows. Spans need no natural boundary.
+
+    Pairs are found between different texts and written out for their exact copies at the end; sharing_classes gives the
+    same without that.
+    """
+    texts = _texts(docs, doc_id, text, min_chars)
+    reps = representative_pairs(texts, min_chars)
+    several = _members(texts).where("n > 1").select("rep", "doc_id")
     a, b = several.select("rep", F.col("doc_id").alias("doc_id_a")), several.select("rep", F.col("doc_id").alias("doc_id_b"))
     within = a.join(b, "rep").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
     # a text without copies has no row in several and stands for itself
@@ -211,6 +234,21 @@ def sharing_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return across.unionByName(within)
 
 
+def sharing_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 400) -> DataFrame:
+    """doc_id, class_id, copies, links for every document with an id: the smallest doc_id with exactly its text, how many
+    documents have it, and how many different other texts share a span of at least min_chars with it.
+
+    Texts below min_chars and null ones are classes of their own, without links. No pair of copies is written out.
+    """
+    texts = _texts(docs, doc_id, text, min_chars)
+    pairs = stored(representative_pairs(texts, min_chars))
+    both = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep")))
+    links = both.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    everyone = docs.select(F.col(doc_id).cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    placed = everyone.join(_members(texts), "doc_id", "left").join(links, "rep", "left")
+    return placed.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def shared_share(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 400) -> DataFrame:
     """doc_id, n_chars, shared_chars, repeated_chars, is_copy for every document with an id.
 
