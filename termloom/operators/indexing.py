@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS, chunk_words, drop_stopwords, split_words, tokenize
-from termloom.session import small_side
+from termloom.session import cut_lineage, small_side
 
 CHUNK, OVERLAP = 200, 40
 #: Terms of a query set are broadcast up to so many, and shuffled beyond.
@@ -152,7 +152,8 @@ def resolve_terms(existing: DataFrame, wanted: DataFrame) -> DataFrame:
 def number_rows(df: DataFrame, order: str) -> DataFrame:
     """row_no from 1 in order of a column: ranks inside range partitions, shifted by the sizes of those before."""
     ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    # cut, as the ranges must be the same ones for both uses below
+    inside = cut_lineage(ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(order))))
     sizes = inside.groupBy("part").agg(F.max("inside").alias("n"))
     # one row per partition
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

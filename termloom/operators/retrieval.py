@@ -9,19 +9,31 @@ from pyspark.sql import functions as F
 
 from termloom.functions.scoring import BM25Params, bm25_idf, bm25_term_score
 from termloom.functions.text import STOPWORDS, drop_stopwords, tokenize
+from termloom.operators.lexicon import lemma_map
 
 #: Scores are ranked as rounded to so many decimals, since sums differ in the last bits with their order.
 DECIMALS = 6
 
 
-def query_terms(queries: DataFrame, stop: Sequence[str] = STOPWORDS, lemmas: DataFrame | None = None) -> DataFrame:
-    """query_id, term, qtf: the bag of each query's terms. A query of stop words only has no row."""
-    terms = queries.select("query_id", F.explode(drop_stopwords(tokenize(F.col("query_text")), stop)).alias("term"))
-    if lemmas is not None:
-        terms = terms.join(lemmas, "term", "left").select("query_id", F.coalesce("lemma", "term").alias("term"))
+def ordered_terms(queries: DataFrame, stop: Sequence[str] = STOPWORDS, lexicon: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, pos, term: each query's terms in their order, repeats kept. A lexicon (lemmas, exceptions) lemmatizes them:
+    the map is made of the queries' own terms, so that forms which no document holds are mapped too."""
+    terms = queries.select("query_id", F.posexplode(drop_stopwords(tokenize(F.col("query_text")), stop)).alias("pos", "term"))
+    if lexicon is None:
+        return terms
+    return terms.join(lemma_map(terms, *lexicon), "term").select("query_id", "pos", F.col("lemma").alias("term"))
+
+
+def bag_of(terms: DataFrame) -> DataFrame:
+    """query_id, term, qtf of rows (query_id, term)."""
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def query_terms(queries: DataFrame, stop: Sequence[str] = STOPWORDS, lexicon: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """query_id, term, qtf: the bag of each query's terms. A query of stop words only has no row."""
+    return bag_of(ordered_terms(queries, stop, lexicon))
+
+
 def idf_of(terms: DataFrame, stats: DataFrame) -> DataFrame:
     """term, df, idf"""
     n = stats.select("n_passages").scalar()
@@ -66,10 +78,10 @@ def best_or_equal(scored: DataFrame, k: int) -> DataFrame:
 
 def search(
     queries: DataFrame, postings: DataFrame, terms: DataFrame, stats: DataFrame, k: int, params: BM25Params = BM25Params(),
-    stop: Sequence[str] = STOPWORDS, lemmas: DataFrame | None = None,
+    stop: Sequence[str] = STOPWORDS, lexicon: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """query_id, passage_id, score, rank of the best k passages of each query; none for an empty index."""
-    bag = query_terms(queries, stop, lemmas)
+    bag = query_terms(queries, stop, lexicon)
     return top_k(passage_scores(term_scores(bag, postings, terms, stats, params)), k)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import uuid
 from collections.abc import Sequence
 
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 
 from termloom.functions.text import STOPWORDS
 from termloom.operators.indexing import CHUNK, OVERLAP, Index, chunk_documents, first_documents, integrity, passages_of, postings_of, replace_documents, stats_of, terms_of
+from termloom.operators.lexicon import lemma_map
 from termloom.plans.store import POINTER, Table
+from termloom.session import ship_code
 from termloom.storage import Folder
 
 REGISTRY = "corpus_id bigint, display_name string, schema_name string, created_at timestamp"
 PARTS = ("documents", "passages", "postings", "terms", "stats")
+#: How a version was built: what questions to it have to be treated with.
+OPTIONS = "options.json"
 
 
 class CorpusError(ValueError):
@@ -24,6 +29,7 @@ class CorpusError(ValueError):
 
 class Corpora:
     def __init__(self, spark: SparkSession, root: str):
+        ship_code(spark)
         self.spark, self.root = spark, root.rstrip("/")
         self.registry = Table(spark, self.root, "corpora", REGISTRY)
 
@@ -59,6 +65,13 @@ class Corpora:
         version = folder.read_text(POINTER).strip()
         return Index(*[self.spark.read.parquet(folder.at(f"{version}/{p}")) for p in PARTS])
 
+    def options(self, corpus_id: int) -> dict:
+        """size, overlap, stop and lemmatized of the published version; the defaults before the first build."""
+        folder = self._folder(corpus_id)
+        if folder.exists(POINTER):
+            return json.loads(Folder(self.spark, folder.at(folder.read_text(POINTER).strip())).read_text(OPTIONS))
+        return {"size": CHUNK, "overlap": OVERLAP, "stop": list(STOPWORDS), "lemmatized": False}
+
     def documents(self, corpus_id: int) -> DataFrame:
         """Documents by name; empty before the first build."""
         index = self.open(corpus_id)
@@ -67,10 +80,13 @@ class Corpora:
         return index.documents.orderBy("document_name")
 
     def build(
-        self, corpus_id: int, docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, stop: Sequence[str] = STOPWORDS, lemmas: DataFrame | None = None
+        self, corpus_id: int, docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, stop: Sequence[str] = STOPWORDS, lexicon: tuple[DataFrame, DataFrame] | None = None
     ) -> dict[str, float]:
         """Builds a new version from docs (document_name, text, unique by name), checks and publishes it.
 
+        With a lexicon (lemmas, exceptions) its terms are lemmatized. Stop words and that choice are stored with the version, so
+        that questions are treated alike.
+
         Each part is read back from where it was written, so nothing is computed twice. A failed build or check leaves
         the published version as it was. Postings are clustered by term, so that a term's rows share few row groups.
         """
@@ -85,6 +101,11 @@ class Corpora:
         try:
             documents = keep(docs.select("document_name", "text"), "documents")
             passages = keep(passages_of(chunk_documents(documents, size, overlap), stop), "passages")
+            lemmas = None
+            if lexicon is not None:
+                words = passages.select(F.explode("terms").alias("term")).distinct()
+                lemmas = keep(lemma_map(words, *lexicon).where("lemma <> term"), "lemmas")
+            Folder(self.spark, folder.at(version)).write_text(OPTIONS, json.dumps({"size": size, "overlap": overlap, "stop": list(stop), "lemmatized": lexicon is not None}))
             postings = keep(postings_of(passages, lemmas).repartitionByRange("term", "passage_id").sortWithinPartitions("term", "passage_id"), "postings")
             terms = keep(terms_of(postings), "terms")
             stats = keep(stats_of(passages), "stats")

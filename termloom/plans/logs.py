@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import iso_timestamp
+from termloom.operators.skew import key_profile
 from termloom.plans.store import Table
 
 SESSIONS = "session_id bigint, corpus_id bigint, title string, created_at timestamp"
@@ -87,15 +88,14 @@ class QueryLog:
 def latency_report(queries: DataFrame) -> DataFrame:
     """outcome, queries, answered, median_ms, p95_ms, max_ms: log rows by outcome (unfinished where it is null).
 
-    Percentiles are exact and lower: the value of rank ceil(p n).
+    Percentiles are exact and lower: the value of rank ceil(p n), from histograms by outcome.
     """
     outcome = F.when(F.col("succeeded") == 1, "succeeded").when(F.col("succeeded").isNull(), "unfinished").otherwise("failed")
-    return queries.withColumn("outcome", outcome).groupBy("outcome").agg(
-        F.count(F.lit(1)).alias("queries"),
-        F.count("total_latency_ms").alias("answered"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY total_latency_ms)").cast("bigint").alias("median_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total_latency_ms)").cast("bigint").alias("p95_ms"),
-        F.max("total_latency_ms").alias("max_ms"),
+    told = queries.select(outcome.alias("outcome"), "total_latency_ms")
+    answered = told.groupBy("outcome").agg(F.count("total_latency_ms").alias("answered"))
+    figures = key_profile(told, "outcome", "total_latency_ms", (0.5, 0.95)).withColumnRenamed("key_value", "outcome")
+    return figures.join(answered, "outcome").select(
+        "outcome", F.col("row_count").alias("queries"), "answered", F.col("p50").alias("median_ms"), F.col("p95").alias("p95_ms"), F.col("value_max").alias("max_ms")
     )
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.session import ship_code
 from termloom.sources import strict_csv
 
 #: From the bytes of a file to its text; raises if the file cannot be opened.
@@ -89,6 +90,7 @@ def read_files(spark: SparkSession, path: str, extractors: dict[str, Extractor]
     extractors adds readers for 'pdf' and 'image' as functions from bytes to text; without one such files are malformed.
     Each file is read whole by one task. Files of no bytes are not listed by file sources and give no row.
     """
+    ship_code(spark)
     plugged = dict(extractors or {})
     names = SCHEMA.replace(" string", "").split(", ")
 

@@ -177,6 +177,77 @@ def test_formulation_with_lexicon(spark, tmp_path):
     assert engine.formulate("the")[0] == []
 
 
+def test_lexicon_end_to_end(spark, tmp_path):
+    """A corpus remembers how it was built; a form that no document holds is lemmatized in a question; order and repeats stay."""
+    from termloom.plans import registry
+
+    tables = registry.small_lexicon(spark)
+    engine = Engine(spark, str(tmp_path), Echo('["boat"]'), tables, stop=("where", "is"))
+    c = engine.corpora.create("one")
+    engine.rebuild(c, docs(spark, ("x", "ferries measured"), ("y", "a box of mice")))
+    assert {r["term"] for r in engine.corpora.open(c).terms.collect()} == {"ferry", "measure", "a", "box", "of", "mouse"}
+    assert engine.corpora.options(c)["lemmatized"] and engine.corpora.options(c)["stop"] == ["where", "is"]
+    assert engine.formulate("boxes where measuring ferries boxes", False, c)[0] == ["box", "measure", "ferry", "box"]
+    assert [s["documentName"] for s in engine.query(c, "measuring", expand=False).sources] == ["x"]
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path)).formulate("ferries", False, c)
+    queries = spark.createDataFrame([("1", "measuring"), ("2", "mice")], "query_id string, query_text string")
+    qrels = spark.createDataFrame([("1", "x", 1), ("2", "y", 1)], "query_id string, corpus_id string, score int")
+    assert engine.evaluate(c, queries, qrels).first()["mrr_10"] == 1.0
+    assert engine.evaluate(c, queries, qrels, expand=True).first()["mrr_10"] == 0.0
+    plain = Engine(spark, str(tmp_path), Echo("x"))
+    d = plain.corpora.create("two")
+    plain.rebuild(d, docs(spark, ("x", "ferries")))
+    assert plain.query(d, "ferry").text == NOTHING_FOUND and plain.query(d, "the ferries").text == "x"
+    logged = engine.log.tables["generation_runs"].read().orderBy("query_id").first()
+    assert "Question: measuring" in logged["prompt_text"] and "Excerpts:" in logged["prompt_text"]
+    quiet = Engine(spark, str(tmp_path), Echo("x"), logged=False)
+    before = engine.log.tables["queries"].read().count()
+    assert quiet.query(d, "ferries").text == "x" and engine.log.tables["queries"].read().count() == before
+
+
+def test_history_fits_what_the_prompt_leaves(spark, tmp_path):
+    class Counting(Echo):
+        def count_tokens(self, text):
+            return 9000 if text.startswith("long") else 6000 if "Documents:" in text else 5
+
+    engine = Engine(spark, str(tmp_path), Counting("yes"))
+    c = engine.corpora.create("one")
+    engine.corpora.rebuild(c, docs(spark, *[(f"d{i:03}", f"text {i}") for i in range(100)]))
+    turns = [("user", "long " + "a"), ("assistant", "long b"), ("user", "short")]
+    answer = engine._read(c, "what?", turns)
+    assert [t[1] for t in engine.model.seen[-1][:-1]] == ["long b", "short"] and len(answer.sources) == 100
+    assert engine.model.seen[-1][-1][1].count("[Source: ") == 100
+    engine.model.count_tokens = lambda text: 200
+    assert len(engine._blocks(engine.corpora.open(c).documents, 1000)) == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from termloom.plans import samples
+
+    lexicon = tmp_path / "lexicon"
+    lexicon.mkdir()
+    for p in ("noun", "verb", "adj", "adv"):
+        (lexicon / f"data.{p}").write_text("\n".join(samples.DATA[p]))
+        (lexicon / f"index.{p}").write_text("\n".join(samples.INDEX[p]))
+        (lexicon / f"{p}.exc").write_text("\n".join(samples.EXCEPTIONS[p]))
+    (tmp_path / "stop.txt").write_text("old\n")
+    (tmp_path / "mode.conf").write_text("mode = production\n")
+    (tmp_path / "b.tsv").write_text("x\told ferries\ny\tstone quay\n")
+    (tmp_path / "q.tsv").write_text("1\tferry\n")
+    (tmp_path / "r.tsv").write_text("query_id\tcorpus_id\tscore\n1\tx\t1\n")
+    root = str(tmp_path / "root")
+    Corpora(spark, root).create("one")
+    own = ["--root", root, "--corpus", "1", "--lexicon", str(lexicon), "--stop", str(tmp_path / "stop.txt"), "--config", str(tmp_path / "mode.conf")]
+    assert cli.main([*own, "bulk-ingest", str(tmp_path / "b.tsv")]) == 0
+    assert cli.main([*own, "query", "ferries"], Echo("said so")) == 0
+    assert cli.main([*own, "eval", str(tmp_path / "q.tsv"), str(tmp_path / "r.tsv"), "--no-llm-expansion"]) == 0
+    assert cli.main([*own, "eval", str(tmp_path / "q.tsv"), str(tmp_path / "r.tsv")], Echo('["quay"]')) == 0
+    said = capsys.readouterr().out
+    assert "x, chunk 0" in said and "said so" in said and said.count("mrr_10 1.0") == 1 and said.count("mrr_10 0.0") == 1
+    assert Engine(spark, root).log.tables["queries"].read().count() == 0
+
+
 def test_small_parts(spark):
     assert [cli.read_mode(t) for t in (None, "mode = production", "# c\n mode=testing \nmode = production", "mode = x", "other = production")] == ["testing", "production", "production", "testing", "testing"]
     assert cli.throughput(10, 0) == 0 and cli.throughput(10, 500) == 20
