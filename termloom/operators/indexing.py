@@ -46,7 +46,9 @@ def passage_key(document_name: Column, chunk_id: Column) -> Column:
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """document_name, chunk_id, text: overlapping word windows; a document without words has none."""
-    return docs.select("document_name", F.posexplode(chunk_words(split_words(F.col("text")), size, overlap)).alias("chunk_id", "text"))
+    # a column of its own, as a text inside chunk_words would be split again for every chunk
+    worded = docs.select("document_name", split_words(F.col("text")).alias("words"))
+    return worded.select("document_name", F.posexplode(chunk_words(F.col("words"), size, overlap)).alias("chunk_id", "text"))
 
 
 def passages_of(chunks: DataFrame, stop: Sequence[str] = STOPWORDS) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
-from termloom.operators import badrows, context, evaluation, indexing, lexicon, retrieval, skew
+from termloom.operators import badrows, context, evaluation, indexing, lexicon, retrieval, scan, skew
 from termloom.operators.indexing import CHUNK, OVERLAP
 from termloom.plans import logs, samples
-from termloom.session import small_side, table
+from termloom.session import small_side, stored, table
 from termloom.sources import lexicon as lexicon_source
 
 POSTING_KEYS = ("term_id", "passage_id")
@@ -269,9 +269,20 @@ def own_word_queries(spark, d):
     return queries, qrels
 
 
+def ranked_by_scan(spark, d, queries, k):
+    """What ranked has, without passage_id, for query sets that grow with the corpus: the passages are stored once and read
+    once for all queries of a block."""
+    passages = stored(indexing.passages_of(chunk_docs(spark, d)).select(*KEY, "token_count", "terms"))
+    bag, stats = retrieval.query_terms(queries), indexing.stats_of(passages)
+    asked = small_side(bag.select("term").distinct(), indexing.SMALL)
+    held = passages.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked, "term", "left_semi")
+    weights = bag.join(retrieval.idf_of(indexing.terms_of(held), stats), "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    return retrieval.top_k(scan.best_passages(passages, weights, k, KEY, stats.first()["avgdl"]), k, KEY)
+
+
 def eval_per_query(spark, d):
     queries, qrels = own_word_queries(spark, d)
-    rows = evaluation.per_query(queries, qrels, ranked(spark, d, queries, 100))
+    rows = evaluation.per_query(queries, qrels, ranked_by_scan(spark, d, queries, 100))
     return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("reciprocal_rank", "recall_10", "recall_100")])
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.functions.scoring import bm25_idf, bm25_term_score
-from termloom.operators import context, evaluation, indexing, lexicon, retrieval
+from termloom.operators import context, evaluation, indexing, lexicon, retrieval, scan
 from termloom.plans import registry
 
 
@@ -184,3 +184,46 @@ def test_logged_questions_are_searched(spark, tmp_path):
         assert n in registry.ORACLES and "eval_items" not in registry.ORACLES[n]
     found = {r["query_id"]: r["document_name"] for r in registry.QUERIES[names[0]](spark, str(tmp_path)).collect()}
     assert found == {q: f"d{q % 3}" for q in range(50, 301, 50)}
+
+
+def own_words_folder(spark, path, texts):
+    """A folder whose documents are all evaluation queries, each asking its own words from the third on."""
+    rows = [(50 * (i + 1), f"d{i:04}", text, "en") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, document_name string, text string, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_scan_ranks_as_joins_do(spark, tmp_path, monkeypatch):
+    words = ["ferry", "quay", "lamp", "keeper", "the", "rope"]
+    texts = [" ".join(words[(i * j + j) % 6] for j in range(1, 4 + i % 7)) for i in range(40)] + ["", "the of", "a b " + "word " * 450]
+    d = own_words_folder(spark, tmp_path, texts)
+    queries, _ = registry.own_word_queries(spark, d)
+    for k, block, waiting, cells in ((5, 25, 10, 100), (100, 10_000, 1, 1)):
+        monkeypatch.setattr(scan, "BLOCK", block)
+        monkeypatch.setattr(scan, "WAITING", waiting)
+        monkeypatch.setattr(scan, "CELLS", cells)
+        rows = lambda ranked: sorted(tuple(r) for r in ranked(spark, d, queries, k).select(*registry.SHOWN).collect())
+        assert rows(registry.ranked_by_scan) == rows(registry.ranked) != [], k
+
+
+def test_scan_of_nothing(spark, tmp_path):
+    d = own_words_folder(spark, tmp_path, ["", "the of and"])
+    assert registry.ranked_by_scan(spark, d, registry.own_word_queries(spark, d)[0], 100).collect() == []
+    assert {tuple(r) for r in registry.eval_per_query(spark, d).collect()} == {(50, 0.0, 0.0, 0.0), (100, 0.0, 0.0, 0.0)}
+
+
+def shuffled_rows(plan):
+    """The most rows that any exchange of an executed plan has written."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    below = [plan.plan()] if plan.nodeName().endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    return max([metric.get().value() if metric.isDefined() else 0, *map(shuffled_rows, below)])
+
+
+def test_evaluation_shuffles_no_row_for_each_query_and_passage(spark, tmp_path):
+    n = 1200
+    d = own_words_folder(spark, tmp_path, [f"on this ferry {'quay ' * (i % 5)} n{i}" for i in range(n)])
+    found = registry.eval_per_query(spark, d)
+    assert {tuple(r)[1:] for r in found.collect()} == {(1.0, 1.0, 1.0)}
+    assert n <= shuffled_rows(found._jdf.queryExecution().executedPlan()) < n * n / 2
